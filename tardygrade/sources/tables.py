@@ -18,9 +18,13 @@ def table_path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A named table under ``base``, without the month column that only lays out its files."""
-    return spark.read.parquet(table_path(base, name)).drop(MONTH_PARTITION)
+def read_table(spark: SparkSession, base: str, name: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """A named table under ``base``, without the month column that only lays out its files.
+
+    A given schema saves the job that would read it from a file footer.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(table_path(base, name)).drop(MONTH_PARTITION)
 
 
 def read_between(

@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import epoch_seconds
 from .tables import read_table
 
+# The columns that trips are made of.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_nationkey INT",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "part": "p_partkey BIGINT, p_brand STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(spark, sf_dir, name, SCHEMAS[name])
+
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trip per order line, with every column of the source contract.
@@ -18,23 +35,23 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     other sides are broadcast is left to the optimizer, which knows the file sizes,
     and adaptive execution splits hot keys of the joins that shuffle.
     """
-    region = read_table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("origin_state_nm"))
-    nation = read_table(spark, sf_dir, "nation")
+    region = _read(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("origin_state_nm"))
+    nation = _read(spark, sf_dir, "nation")
     here = nation.select(
         F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("origin"), F.col("n_regionkey").alias("r_regionkey")
     )
     there = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("dest"))
-    supplier = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    customer = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    supplier = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    customer = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     orders = (
-        read_table(spark, sf_dir, "orders")
+        _read(spark, sf_dir, "orders")
         .select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         .join(customer, "o_custkey")
         .select("l_orderkey", "c_nationkey")
     )
-    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     lines = (
-        read_table(spark, sf_dir, "lineitem")
+        _read(spark, sf_dir, "lineitem")
         .join(part, "l_partkey")
         .join(supplier, "l_suppkey")
         .join(orders, "l_orderkey")
@@ -104,7 +121,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as trips whose time is known to the second."""
     day, hour, minute = F.col("ts").cast("date"), F.hour("ts"), F.minute("ts")
-    return read_table(spark, sf_dir, "events").select(
+    return _read(spark, sf_dir, "events").select(
         "event_id",
         day.alias("fl_date"),
         hour.alias("scheduled_dep_hour"),
