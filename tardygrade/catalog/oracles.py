@@ -337,6 +337,7 @@ def oracle_sql() -> dict[str, str]:
             strftime(make_timestamp(year(fl_date), month(fl_date), day(fl_date), scheduled_dep_hour, scheduled_dep_minute, 0), '%Y-%m-%d %H:%M:%S') AS flight_datetime_order, flight_timestamp FROM completed""",
             "completed",
         ),
+        "silver": _with(f"SELECT {silver_columns} FROM silver", "silver"),
         "completed": _with(f"SELECT {silver_columns} FROM completed", "completed"),
         "cancelled_sample": _with(f"SELECT {DAY}, op_unique_carrier, origin, dest, cancellation_code, diverted FROM (SELECT * FROM trips WHERE cancelled = 1 ORDER BY fl_date, op_unique_carrier, origin, dest, cancellation_code, diverted LIMIT 20)", "trips"),
         "invalid_time_raw": _with(f"SELECT {clock} FROM trips WHERE {bad}", "trips"),

@@ -69,10 +69,28 @@ def _plain(df: DataFrame, rounded: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame:
+    """A stage table, built and written once per session; later stages read the written table.
+
+    Rebalancing makes its files even, however few tasks the build ended in.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = materialize(build(spark, sf_dir).hint("rebalance"), name)
+    return _STORED[key]
+
+
+def _build_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.silver(check_contract(trips(spark, sf_dir)), P.delay_minutes)
 
 
+def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "silver", _build_silver)
+
+
 def _completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.completed(_silver(spark, sf_dir))
 
@@ -81,7 +99,7 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.temporal_split(_completed(spark, sf_dir), P.train_end, P.validation_end)
 
 
-def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test trips scored by the reliable delay rate of their origin and hour, else the rate of all training trips."""
     done = _completed(spark, sf_dir)
     origin_hour = (Entity("origin", "origin", None, (Context("origin_hour", "scheduled_dep_hour"),)),)
@@ -93,6 +111,10 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.predictions(scored, threshold=P.threshold, edges=P.risk_edges)
 
 
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "predictions", _build_predictions)
+
+
 # Tables and columns ---------------------------------------------------------
 
 _register("trips")(trips)
@@ -167,6 +189,11 @@ def _(spark, sf_dir):
 # Filters and previews -------------------------------------------------------
 
 
+@_register("silver")
+def _(spark, sf_dir):
+    return _build_silver(spark, sf_dir)
+
+
 @_register("completed")
 def _(spark, sf_dir):
     return _completed(spark, sf_dir)
@@ -338,7 +365,7 @@ def _(spark, sf_dir):
 
 @_register("feature_nulls")
 def _(spark, sf_dir):
-    return quality.feature_nulls(features.features_v2(_completed(spark, sf_dir), P.reliable_min), MODEL_FEATURES_V2)
+    return quality.feature_nulls(_stored_features(spark, sf_dir), MODEL_FEATURES_V2)
 
 
 @_register("probability_profile", ["value"])
@@ -506,10 +533,9 @@ def _(spark, sf_dir):
 
 
 def _gapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Columns with gaps for all trips, stored, and those of the training part."""
-    table = features.features_v1(_completed(spark, sf_dir), P.reliable_min).select("fl_date", "route", *GAPPED)
-    stored = materialize(table, "gapped")
-    return stored, stored.filter(F.col("fl_date") < F.lit(P.train_end))
+    """Columns with gaps for all trips, and those of the training part."""
+    table = _stored_features(spark, sf_dir).select("fl_date", "route", *GAPPED)
+    return table, table.filter(F.col("fl_date") < F.lit(P.train_end))
 
 
 @_register("median_impute", GAPPED)
@@ -541,7 +567,7 @@ def _(spark, sf_dir):
 
 @_register("predictions")
 def _(spark, sf_dir):
-    return _predictions(spark, sf_dir)
+    return _build_predictions(spark, sf_dir)
 
 
 @_register("predicted_label")
@@ -647,16 +673,15 @@ def _(spark, sf_dir):
 # Models ---------------------------------------------------------------------
 # Small settings keep these quick; the full ones are listed in operators.models.
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+
+def _build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = features.features_v2(_completed(spark, sf_dir), P.reliable_min)
+    return split.temporal_split(table, P.train_end, P.validation_end)
 
 
 def _stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second feature table with its split, stored once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        table = features.features_v2(_completed(spark, sf_dir), P.reliable_min)
-        _STORED[key] = materialize(split.temporal_split(table, P.train_end, P.validation_end), "features")
-    return _STORED[key]
+    """The second feature table with its split."""
+    return _stored(spark, sf_dir, "features", _build_features)
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

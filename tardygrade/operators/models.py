@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..contract import NOT_MODEL_INPUTS
 from ..session import shared_folder
-from .prepare import class_weights, fit_medians, fit_scale, impute, pos_weight
+from .prepare import class_weights, fit_medians, fit_scale, pos_weight
 
 WEIGHT = "_weight"
 
@@ -38,7 +38,7 @@ _CLASSES = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "b
 def preprocessing(train: DataFrame, cols: Sequence[str]) -> SQLTransformer:
     """Median imputation and standard scaling as one projection that is saved with the model."""
     medians = fit_medians(train, cols)
-    scales = fit_scale(impute(train.select(*cols), medians), cols)
+    scales = fit_scale(train, cols, medians)
     missing = "nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE))"
     inputs = [
         f"(coalesce({missing.format(c=c)}, {medians[c]!r}D) - {scales[c][0]!r}D) / {scales[c][1]!r}D AS `{input_name(c)}`"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import per_column
+from .quality import per_numeric_column
 from .quantiles import exact_quantiles, present
 
 
@@ -22,11 +23,30 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(present(c), F.lit(m)) for c, m in medians.items()})
 
 
-def fit_scale(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation per column; a constant column has deviation 1."""
-    stats = {"mean": lambda c: F.avg(present(c)), "std": lambda c: F.stddev_pop(present(c))}
-    rows = per_column(df, cols, stats).collect()
-    return {r["column_name"]: (r["mean"] or 0.0, r["std"] or 1.0) for r in rows}
+def fit_scale(
+    df: DataFrame, cols: Sequence[str], medians: dict[str, float] | None = None
+) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation per column; a constant column has deviation 1.
+
+    With ``medians`` the figures are those after imputation, put together from the
+    moments of the values that are there, so the table need not be imputed for it.
+    """
+    stats = {
+        "rows": lambda x: F.count("*"),
+        "n": F.count,
+        "mean": F.avg,
+        "var": F.var_pop,
+    }
+    result = {c: (0.0, 1.0) for c in cols}
+    for r in per_numeric_column(df, cols, stats).collect():
+        n, mean, var = r["n"], r["mean"] or 0.0, r["var"] or 0.0
+        if medians is not None and r["rows"] > n:
+            gaps, filler = r["rows"] - n, medians[r["column_name"]]
+            overall = (n * mean + gaps * filler) / r["rows"]
+            var = (n * (var + (mean - overall) ** 2) + gaps * (filler - overall) ** 2) / r["rows"]
+            mean = overall
+        result[r["column_name"]] = (mean, math.sqrt(var) or 1.0)
+    return result
 
 
 def scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:

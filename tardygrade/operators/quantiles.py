@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,22 +17,32 @@ def present(col: str | Column) -> Column:
 
 
 @dataclass
-class _Rank:
-    """One order statistic that is searched for: ``rank`` counts from 0 in column ``col``."""
+class _Target:
+    """One quantile that is searched for: the values at two neighbouring ranks, counted from 0."""
 
     col: str
-    rank: int
+    share: float
+    size: int
     low: float | None = None
     high: float | None = None
     below: int = 0
-    inside: int = 0
-    value: float | None = None
+    inside: int = field(init=False)
+    found: dict[int, float] = field(default_factory=dict)
 
-    def bracket(self) -> Column:
+    def __post_init__(self) -> None:
+        self.inside = self.size
+        position = self.share * (self.size - 1)
+        self.ranks = (math.floor(position), math.ceil(position))
+        self.weight = position - self.ranks[0]
+
+    def bracketed(self) -> Column:
+        """The column's value where it lies in the bracket, else null."""
         value = present(self.col)
-        if self.low is None:
-            return value
-        return F.when((value >= self.low) & (value <= self.high), value)
+        return value if self.low is None else F.when((value >= self.low) & (value <= self.high), value)
+
+    def result(self) -> float:
+        first, second = (self.found[r] for r in self.ranks)
+        return (1 - self.weight) * first + self.weight * second
 
 
 def exact_quantiles(
@@ -40,100 +50,96 @@ def exact_quantiles(
     cols: Sequence[str],
     probabilities: Sequence[float],
     *,
-    small: int = 2_000_000,
-    candidates: int = 1_000_000,
+    small: int = 1_000_000,
+    candidates: int = 50_000,
     accuracy: int = 10_000,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column, interpolated between neighbouring values; nulls and NaN are left out.
 
-    Up to ``small`` cells the built-in exact ``percentile`` does it in one aggregate.
-    Beyond that its value map would grow with the data, so every wanted rank is
-    first bracketed with mergeable approximate percentiles, pass by pass, until at
-    most ``candidates`` rows lie in the bracket or it holds a single value. Only
-    those rows are then counted by value and ranked. The driver sees a few numbers
-    per column and pass.
+    The built-in exact ``percentile`` keeps one counter per distinct value, so it serves
+    the columns that together have at most ``small`` distinct values. For the others its
+    buffer would grow with the data. There each quantile is first bracketed with
+    mergeable approximate percentiles, pass by pass, until at most ``candidates`` rows
+    lie in the bracket or it holds a single value. Only those rows are counted by value
+    and ranked. The driver sees a few numbers per column and pass.
     """
-    cols = list(cols)
-    probabilities = [float(p) for p in probabilities]
-    counts = df.agg(*[F.count(present(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    sizes = {c: counts[i] for i, c in enumerate(cols)}
-
-    if sum(sizes.values()) <= small:
+    cols, probabilities = list(cols), [float(p) for p in probabilities]
+    pairs = df.select(F.posexplode(F.array(*[present(c) for c in cols])).alias("place", "value"))
+    counts = pairs.groupBy("place").agg(F.count("value"), F.approx_count_distinct("value")).collect()
+    sizes = {place: n for place, n, _ in counts if n}
+    direct, total = [], 0
+    for place, _, distinct in sorted(counts, key=lambda row: row[2]):
+        total += distinct
+        if place in sizes and total <= small:
+            direct.append(place)
+
+    found: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in cols}
+    if direct:
         wanted = F.array(*[F.lit(p) for p in probabilities])
-        row = df.agg(*[F.percentile(present(c), wanted).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probabilities) for i, c in enumerate(cols)}
-
-    ranks: dict[tuple[str, int], _Rank] = {}
-    for c in cols:
-        for p in probabilities:
-            if sizes[c]:
-                position = p * (sizes[c] - 1)
-                for r in {math.floor(position), math.ceil(position)}:
-                    ranks[c, r] = _Rank(c, r, inside=sizes[c])
-    _narrow(df, list(ranks.values()), candidates, accuracy)
-    _settle(df, [r for r in ranks.values() if r.value is None])
-
-    def interpolate(c: str, p: float) -> float | None:
-        if not sizes[c]:
-            return None
-        position = p * (sizes[c] - 1)
-        low, high = ranks[c, math.floor(position)].value, ranks[c, math.ceil(position)].value
-        share = position - math.floor(position)
-        return (1 - share) * low + share * high
-
-    return {c: [interpolate(c, p) for p in probabilities] for c in cols}
-
-
-def _narrow(df: DataFrame, ranks: list[_Rank], candidates: int, accuracy: int) -> None:
-    open_ranks = [r for r in ranks if r.inside > candidates]
+        row = df.agg(*[F.percentile(present(cols[i]), wanted).alias(f"q{i}") for i in direct]).first()
+        found |= {cols[i]: list(row[f"q{i}"]) for i in direct}
+
+    targets = {
+        i: [_Target(cols[i], p, n) for p in probabilities] for i, n in sizes.items() if i not in direct
+    }
+    every = [t for group in targets.values() for t in group]
+    _narrow(df, every, candidates, accuracy)
+    _settle(df, every)
+    return found | {cols[i]: [t.result() for t in group] for i, group in targets.items()}
+
+
+def _narrow(df: DataFrame, targets: list[_Target], candidates: int, accuracy: int) -> None:
+    """Tighten brackets until few rows are left in them or they do not get much smaller."""
     margin = 2.0 / accuracy
-    while open_ranks:
+    wide = [t for t in targets if t.inside > candidates]
+    while wide:
         guesses = []
-        for i, r in enumerate(open_ranks):
-            share = (r.rank - r.below + 0.5) / r.inside
-            ends = [max(0.0, share - margin), min(1.0, share + margin)]
-            guesses.append(F.percentile_approx(r.bracket(), ends, accuracy).alias(f"g{i}"))
+        for i, t in enumerate(wide):
+            shares = [(r - t.below + 0.5) / t.inside for r in t.ranks]
+            ends = [max(0.0, shares[0] - margin), min(1.0, shares[1] + margin)]
+            guesses.append(F.percentile_approx(t.bracketed(), ends, accuracy).alias(f"g{i}"))
         bounds = df.agg(*guesses).first()
 
         checks = []
-        for i, r in enumerate(open_ranks):
-            low, high = bounds[i]
-            value = present(r.col)
-            checks += [
-                F.count_if(value < low).alias(f"b{i}"),
-                F.count_if((value >= low) & (value <= high)).alias(f"i{i}"),
-            ]
-        found = df.agg(*checks).first()
-
-        still_open = []
-        for i, r in enumerate(open_ranks):
-            below, inside = found[2 * i], found[2 * i + 1]
-            if not below <= r.rank < below + inside:
+        for i, t in enumerate(wide):
+            value, (low, high) = present(t.col), bounds[i]
+            checks.append(F.count_if(value < low).alias(f"b{i}"))
+            checks.append(F.count_if((value >= low) & (value <= high)).alias(f"i{i}"))
+        counts = df.agg(*checks).first()
+
+        again = []
+        for i, t in enumerate(wide):
+            below, inside = counts[f"b{i}"], counts[f"i{i}"]
+            if not (below <= t.ranks[0] and t.ranks[1] < below + inside):
                 continue
-            shrunk = inside <= r.inside // 2
-            (r.low, r.high), r.below, r.inside = bounds[i], below, inside
-            if r.low == r.high:
-                r.value = r.low
+            shrunk = inside <= t.inside // 2
+            (t.low, t.high), t.below, t.inside = bounds[i], below, inside
+            if t.low == t.high:
+                t.found = {r: t.low for r in t.ranks}
             elif shrunk and inside > candidates:
-                still_open.append(r)
-        open_ranks = still_open
+                again.append(t)
+        wide = again
 
 
-def _settle(df: DataFrame, ranks: list[_Rank]) -> None:
+def _settle(df: DataFrame, targets: list[_Target]) -> None:
     """Count the bracketed values and read the wanted ranks off the running counts."""
-    if not ranks:
+    open_targets = [t for t in targets if not t.found]
+    if not open_targets:
         return
-    cells = F.array(*[F.struct(F.lit(i).alias("id"), r.bracket().alias("value")) for i, r in enumerate(ranks)])
-    wanted = F.create_map(*[F.lit(x) for i, r in enumerate(ranks) for x in (i, r.rank - r.below)])
+    cells = [F.struct(F.lit(i).alias("id"), t.bracketed().alias("value")) for i, t in enumerate(open_targets)]
+    first = F.array(*[F.lit(t.ranks[0] - t.below) for t in open_targets])[F.col("id")]
+    second = F.array(*[F.lit(t.ranks[1] - t.below) for t in open_targets])[F.col("id")]
     upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        df.select(F.explode(cells).alias("cell"))
-        .select("cell.id", "cell.value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("id", "value")
+        df.select(F.explode(F.filter(F.array(*cells), lambda cell: cell["value"].isNotNull())).alias("cell"))
+        .groupBy("cell.id", "cell.value")
         .count()
         .withColumn("through", F.sum("count").over(upto))
-        .filter((F.col("through") > wanted[F.col("id")]) & (F.col("through") - F.col("count") <= wanted[F.col("id")]))
+        .filter((F.col("through") > first) & (F.col("through") - F.col("count") <= second))
+        .select("id", "value", "count", "through")
     )
-    for row in hits.collect():
-        ranks[row["id"]].value = row["value"]
+    for id_, value, count, through in hits.collect():
+        t = open_targets[id_]
+        for r in t.ranks:
+            if through - count <= r - t.below < through:
+                t.found[r] = value

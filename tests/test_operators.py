@@ -153,7 +153,10 @@ def test_impute_and_scale(spark):
     medians = prepare.fit_medians(df, ["x", "c", "e"])
     assert medians == {"x": 2.0, "c": 7.0, "e": 0.0}
     filled = prepare.impute(df, medians)
-    scaled = prepare.scale(filled, prepare.fit_scale(filled, ["x", "c", "e"]))
+    stats = prepare.fit_scale(filled, ["x", "c", "e"])
+    for c, pair in prepare.fit_scale(df, ["x", "c", "e"], medians).items():
+        assert pair == pytest.approx(stats[c])
+    scaled = prepare.scale(filled, stats)
     x = np.array([1.0, 2.0, 2.0, 10.0])
     assert column(scaled, "x") == pytest.approx((x - x.mean()) / x.std())
     assert column(scaled, "c") == [0.0] * 4 and column(scaled, "e") == [0.0] * 4
