@@ -40,6 +40,9 @@ class _Target:
         value = present(self.col)
         return value if self.low is None else F.when((value >= self.low) & (value <= self.high), value)
 
+    def sought(self) -> list[int]:
+        return [r for r in self.ranks if r not in self.found]
+
     def result(self) -> float:
         first, second = (self.found[r] for r in self.ranks)
         return (1 - self.weight) * first + self.weight * second
@@ -89,46 +92,58 @@ def exact_quantiles(
 
 
 def _narrow(df: DataFrame, targets: list[_Target], candidates: int, accuracy: int) -> None:
-    """Tighten brackets until few rows are left in them or they do not get much smaller."""
+    """Tighten brackets until few rows are left in them.
+
+    The guessed ends of a bracket may be values that many rows share. They either are
+    the value sought or fall out of the bracket, so what is left of it always shrinks.
+    """
     margin = 2.0 / accuracy
     wide = [t for t in targets if t.inside > candidates]
     while wide:
         guesses = []
         for i, t in enumerate(wide):
-            shares = [(r - t.below + 0.5) / t.inside for r in t.ranks]
-            ends = [max(0.0, shares[0] - margin), min(1.0, shares[1] + margin)]
+            shares = [(r - t.below + 0.5) / t.inside for r in t.sought()]
+            ends = [max(0.0, shares[0] - margin), min(1.0, shares[-1] + margin)]
             guesses.append(F.percentile_approx(t.bracketed(), ends, accuracy).alias(f"g{i}"))
         bounds = df.agg(*guesses).first()
 
         checks = []
         for i, t in enumerate(wide):
             value, (low, high) = present(t.col), bounds[i]
-            checks.append(F.count_if(value < low).alias(f"b{i}"))
-            checks.append(F.count_if((value >= low) & (value <= high)).alias(f"i{i}"))
+            checks.append(F.count_if(value < low).alias(f"below{i}"))
+            checks.append(F.count_if(value == low).alias(f"low{i}"))
+            checks.append(F.count_if(value < high).alias(f"upto{i}"))
+            checks.append(F.count_if(value == high).alias(f"high{i}"))
         counts = df.agg(*checks).first()
 
         again = []
         for i, t in enumerate(wide):
-            below, inside = counts[f"b{i}"], counts[f"i{i}"]
-            if not (below <= t.ranks[0] and t.ranks[1] < below + inside):
-                continue
-            shrunk = inside <= t.inside // 2
-            (t.low, t.high), t.below, t.inside = bounds[i], below, inside
-            if t.low == t.high:
-                t.found = {r: t.low for r in t.ranks}
-            elif shrunk and inside > candidates:
-                again.append(t)
+            low, high = bounds[i]
+            below, upto = counts[f"below{i}"], counts[f"upto{i}"]
+            inner = below + counts[f"low{i}"]
+            for r in t.sought():
+                if below <= r < inner:
+                    t.found[r] = low
+                elif upto <= r < upto + counts[f"high{i}"]:
+                    t.found[r] = high
+            left = t.sought()
+            if left and inner <= left[0] and left[-1] < upto:
+                shrunk = upto - inner < t.inside
+                t.low, t.high = math.nextafter(low, math.inf), math.nextafter(high, -math.inf)
+                t.below, t.inside = inner, upto - inner
+                if shrunk and t.inside > candidates:
+                    again.append(t)
         wide = again
 
 
 def _settle(df: DataFrame, targets: list[_Target]) -> None:
     """Count the bracketed values and read the wanted ranks off the running counts."""
-    open_targets = [t for t in targets if not t.found]
+    open_targets = [t for t in targets if t.sought()]
     if not open_targets:
         return
     cells = [F.struct(F.lit(i).alias("id"), t.bracketed().alias("value")) for i, t in enumerate(open_targets)]
-    first = F.array(*[F.lit(t.ranks[0] - t.below) for t in open_targets])[F.col("id")]
-    second = F.array(*[F.lit(t.ranks[1] - t.below) for t in open_targets])[F.col("id")]
+    first = F.array(*[F.lit(t.sought()[0] - t.below) for t in open_targets])[F.col("id")]
+    second = F.array(*[F.lit(t.sought()[-1] - t.below) for t in open_targets])[F.col("id")]
     upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
         df.select(F.explode(F.filter(F.array(*cells), lambda cell: cell["value"].isNotNull())).alias("cell"))
@@ -141,5 +156,5 @@ def _settle(df: DataFrame, targets: list[_Target]) -> None:
     for id_, value, count, through in hits.collect():
         t = open_targets[id_]
         for r in t.ranks:
-            if through - count <= r - t.below < through:
+            if r not in t.found and through - count <= r - t.below < through:
                 t.found[r] = value

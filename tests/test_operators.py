@@ -91,7 +91,7 @@ def test_percentages_within_groups(spark):
     assert got == {("a", 0): 66.67, ("a", 1): 33.33, ("b", 1): 100.0}
 
 
-@pytest.mark.parametrize("shape", ["uniform", "ties", "few", "heavy", "constant"])
+@pytest.mark.parametrize("shape", ["uniform", "ties", "few", "heavy", "constant", "hot"])
 def test_quantiles_narrowed_to_the_exact_value(spark, shape):
     """The bracketing path, forced by tiny limits, against NumPy."""
     rng = np.random.default_rng(5)
@@ -101,6 +101,7 @@ def test_quantiles_narrowed_to_the_exact_value(spark, shape):
         "few": np.array([1.0, 2.0, 3.0, 10.0]),
         "heavy": np.exp(rng.normal(0, 8, 20_000)),
         "constant": np.full(5_000, 3.5),
+        "hot": np.concatenate([np.full(9_999, 0.5), rng.random(10_001)]),
     }[shape]
     rows = [(float(v),) for v in values] + [(None,), (float("nan"),)] * 50
     random.Random(1).shuffle(rows)
