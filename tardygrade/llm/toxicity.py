@@ -45,8 +45,8 @@ class Settings:
     vocabulary: int = 20_000
     min_count: int = 3
     attention: int = 12
-    epochs: int = 14
-    warm_epochs: int = 4
+    steps: int = 1000
+    warm: float = 0.3
     batch: int = 128
     rate: float = 6e-3
     word_dropout: float = 0.35
@@ -136,7 +136,7 @@ class Network:
 
     # Scoring
 
-    def _rows_of(self, words: list[bytes], memory: int = 1 << 18) -> list[int]:
+    def _rows_of(self, words: list[bytes], memory: int = 1 << 19) -> list[int]:
         """Rows of the words in the table of projected inputs, which is remembered."""
         known = self._rows
         found = [known.get(w) for w in words]
@@ -317,9 +317,9 @@ def train(bags: list[list[str]], labels: list[int], base_rate: float, s: Setting
     trainable = np.flatnonzero(~back[owner])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.weights.items()}
     steps = 0
-    for epoch in range(s.epochs):
+    while steps < s.steps:
         noise = random.random(len(windows))
-        if epoch < s.warm_epochs:
+        if steps < s.warm * s.steps:
             chosen = _best_of(trainable, owner, noise, 4)
         else:
             logits = _lexicon_logits(net, ids, mask, lexicon)
@@ -331,7 +331,7 @@ def train(bags: list[list[str]], labels: list[int], base_rate: float, s: Setting
         most = max(map(len, sides))
         chosen = np.concatenate([np.resize(random.permutation(side), most) for side in sides])
         chosen = random.permutation(chosen)
-        rate = s.rate * (1.0 if epoch < s.epochs * 0.6 else 0.3)
+        rate = s.rate * (1.0 if steps < 0.6 * s.steps else 0.3)
         for k in range(0, len(chosen), s.batch):
             part = chosen[k : k + s.batch]
             g = net.gradients(ids[part], mask[part], label[owner[part]], lexicon, random)
