@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, pieces, toxicity
+from . import jaccard, pieces, repeats, toxicity
 from .oracles import ORACLES
 from .common import crc_fold, read
 
@@ -36,13 +36,25 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that occurred earlier."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.without_repeats(docs).select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce(F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"), F.lit(0)).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of similar texts of every document."""
     return jaccard.similar_texts(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op4_toxicity, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_sentencepiece, op4_toxicity, op7_suffix_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
