@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, pieces, repeats, toxicity
+from . import jaccard, leaks, pieces, repeats, toxicity
 from .oracles import ORACLES
 from .common import crc_fold, read
 
@@ -26,6 +26,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that they contain."""
+    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from four of five folds."""
     docs = read(spark, sf_dir, "documents")
@@ -54,7 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op4_toxicity, op7_suffix_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_decontamination, op4_toxicity, op7_suffix_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
