@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, leaks, pieces, repeats, toxicity
+from . import jaccard, leaks, pieces, quality, repeats, rules, toxicity
 from .oracles import ORACLES
 from .common import crc_fold, read
 
@@ -26,6 +26,16 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from three of four folds."""
+    docs = read(spark, sf_dir, "documents")
+    fold = F.coalesce(crc_fold("doc_id", 4), F.lit(0))
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), allowed=fold != 2)
+    return quality.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the benchmark items that they contain."""
     return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -41,6 +51,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether it stays within the limits of its group."""
+    return rules.judged(read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 100 bytes that occurred earlier."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,7 +74,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_decontamination, op4_toxicity, op7_suffix_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_decontamination, op4_toxicity, op6_quality_rules, op7_suffix_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -88,44 +88,51 @@ class Passages:
 
     def __init__(self, words: np.ndarray, sizes: np.ndarray, s: Settings):
         self.s = s
-        self.term = words.astype(np.int64) % s.terms
         per_text = -(-sizes // s.block)
-        starts = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(sizes)), per_text)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        self.first = starts[owner] + number * s.block  # first word of each block
-        self.owner = owner
+        ends = np.cumsum(sizes)
+        self.owner = np.repeat(np.arange(len(sizes)), per_text)
+        number = np.arange(len(self.owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         self.word = number * s.block
+        # Terms by block; places without a word have a term of their own.
+        place = ((ends - sizes)[self.owner] + self.word)[:, None] + np.arange(s.block)
+        padded = np.append(words.astype(np.int64) % s.terms, s.terms)
+        self.term = padded[np.where(place < ends[self.owner][:, None], place, len(words))]
         # A passage begins at every block; short ends stay with the last full passage.
-        self.heads = np.flatnonzero((number == 0) | (number <= per_text[owner] - s.blocks))
+        self.heads = np.flatnonzero((number == 0) | (number <= per_text[self.owner] - s.blocks))
 
-    def sums(self, of_term: np.ndarray) -> np.ndarray:
-        """Sum over the words of each passage of a row per term."""
-        if not len(self.heads):
-            return np.zeros((0, of_term.shape[1]), of_term.dtype)
-        blocks = np.add.reduceat(of_term[self.term], self.first, axis=0)
-        total = blocks[self.heads].copy()
-        for k in range(1, self.s.blocks):
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.term.ravel(), minlength=self.s.terms + 1)[: self.s.terms]
+
+    def _parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passages, blocks): the k-th block of all passages that have one, for each k."""
+        for k in range(self.s.blocks):
             at = self.heads + k
-            inside = np.flatnonzero(at < len(blocks))
+            inside = np.flatnonzero(at < len(self.owner))
             inside = inside[self.owner[at[inside]] == self.owner[self.heads[inside]]]
-            total[inside] += blocks[at[inside]]
+            yield inside, at[inside]
+
+    def sums(self, of_term: np.ndarray) -> np.ndarray:
+        """Sum over the words of each passage of a row per term."""
+        table = np.concatenate([of_term, np.zeros((1, of_term.shape[1]), of_term.dtype)])
+        blocks = np.zeros((len(self.term), table.shape[1]), table.dtype)
+        # Some blocks at a time, so that sums stay in the processor's cache.
+        for start in range(0, len(blocks), 512):
+            part = blocks[start : start + 512]
+            for k in range(self.s.block):
+                part += table[self.term[start : start + 512, k]]
+        total = np.zeros((len(self.heads), table.shape[1]), table.dtype)
+        for passages, own in self._parts():
+            total[passages] += blocks[own]
         return total
 
     def spread(self, of_passage: np.ndarray) -> np.ndarray:
         """Sum over the passages with each term (as often as it is there) of a row per passage."""
-        blocks = np.zeros((len(self.first), of_passage.shape[1]), of_passage.dtype)
-        for k in range(self.s.blocks):
-            at = self.heads + k
-            inside = np.flatnonzero(at < len(blocks))
-            inside = inside[self.owner[at[inside]] == self.owner[self.heads[inside]]]
-            blocks[at[inside]] += of_passage[inside]
-        sizes = np.diff(np.r_[self.first, len(self.term)])
-        of_word = np.repeat(np.arange(len(blocks)), sizes)
-        out = np.empty((self.s.terms, of_passage.shape[1]))
-        for d in range(of_passage.shape[1]):
-            out[:, d] = np.bincount(self.term, blocks[of_word, d], minlength=self.s.terms)
-        return out
+        blocks = np.zeros((of_passage.shape[1], len(self.term)))
+        for passages, own in self._parts():
+            blocks[:, own] += of_passage[passages].T
+        terms, size = self.term.ravel(), self.s.terms + 1
+        columns = [np.bincount(terms, np.repeat(row, self.s.block), minlength=size) for row in blocks]
+        return np.stack(columns, axis=1)[: self.s.terms]
 
 
 def _each(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Passages]]:
@@ -188,10 +195,7 @@ class LatentSpace:
 
 def latent_space(tokens: DataFrame, s: Settings = Settings()) -> LatentSpace:
     """Randomised SVD of the TF-IDF matrix of all passages of ``tokens`` (doc_id, words)."""
-    ones = np.ones((1, 1))
-    counts = _added_up(
-        tokens, (s.terms, 1), lambda p: np.bincount(p.term, minlength=s.terms)[:, None] * ones, s
-    )[:, 0]
+    counts = _added_up(tokens, (s.terms, 1), lambda p: p.counts()[:, None], s)[:, 0]
     share = np.minimum((counts + 1) / (counts.sum() + s.terms), 0.999)
     idf = (-np.log(1 - (1 - share) ** (s.block * s.blocks)))[:, None]
 
@@ -266,7 +270,7 @@ def _search(space, items, id_kind: pa.DataType, item_kind: pa.DataType):
         s, targets = latent.s, own.vectors.T
         for batch, words, sizes, passages in _each(batches, latent.s):
             starts = np.cumsum(sizes) - sizes
-            best: dict[tuple[int, int], tuple[float, int]] = {}
+            best: dict[tuple[int, int], list[tuple[float, int]]] = {}
             vectors = latent.vectors(passages)
             for k in range(0, len(vectors), 4096):
                 cosine = vectors[k : k + 4096] @ targets
