@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, leaks, pieces, quality, repeats, rules, toxicity
+from . import chat, jaccard, leaks, pieces, quality, repeats, rules, toxicity, urls
 from .oracles import ORACLES
 from .common import crc_fold, read
 
@@ -51,6 +51,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each participant."""
+    return chat.perspectives(read(spark, sf_dir, "conversations"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and whether it stays within the limits of its group."""
     return rules.judged(read(spark, sf_dir, "documents"))
@@ -68,13 +73,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url."""
+    return urls.judged(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "words", "log_odds")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of similar texts of every document."""
     return jaccard.similar_texts(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_decontamination, op4_toxicity, op6_quality_rules, op7_suffix_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_decontamination, op4_toxicity, op5_chat, op6_quality_rules, op7_suffix_dedup, op9_url_filter, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,4 +28,94 @@ SELECT d.doc_id, class_id, text_id, coalesce(n_links, 0) AS n_links, n_copies
 FROM documents d JOIN texts t ON coalesce(d.text, '') = t.text JOIN named USING (text_id) LEFT JOIN degree USING (text_id)
 """
 
-ORACLES = {"op10_jaccard_join": JACCARD}
+CHAT = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS text FROM conversations
+), views AS (
+  SELECT DISTINCT conv_id, name AS participant FROM turns WHERE name <> 'system'
+), pieces AS (
+  SELECT t.conv_id, participant, turn, name, text,
+    CASE WHEN name = participant THEN 'assistant' WHEN name = 'system' THEN 'system' ELSE 'user' END AS role,
+    CASE WHEN name = participant THEN '<|im_start|>assistant' WHEN name = 'system' THEN '<|im_start|>system'
+      ELSE '<|im_start|>user name=' || name END || chr(10) AS head
+  FROM turns t JOIN views v ON t.conv_id IS NOT DISTINCT FROM v.conv_id
+), rendered AS (
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM pieces
+), placed AS (
+  SELECT *, row_number() OVER w AS seq,
+    sum(length(rendered)) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
+  FROM rendered WINDOW w AS (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, name, text)
+)
+SELECT conv_id, participant, seq, role, name, rendered, stop - length(rendered) AS start, stop,
+  CASE WHEN role = 'assistant' THEN stop - length(rendered) + length(head) END AS mask_start,
+  CASE WHEN role = 'assistant' THEN stop - 1 END AS mask_stop
+FROM placed
+"""
+
+RULES = r"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT *, list_filter(string_split_regex(text, '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM texts
+), positions AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM words
+), starts AS (
+  SELECT doc_id, i, i + 7 <= len(w)
+    AND count(*) OVER (PARTITION BY doc_id, i + 7 <= len(w), array_to_string(w[i:i + 7], ' ')) > 1 AS twice FROM positions
+), covered AS (
+  SELECT doc_id, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM starts
+), repeated AS (
+  SELECT doc_id, sum(c)::BIGINT AS n FROM covered GROUP BY 1
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts
+), doubled AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ \x09-\x0D]') GROUP BY 1
+), counts AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words,
+    coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(doubled.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN doubled USING (doc_id) LEFT JOIN repeated USING (doc_id)
+), base AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    1000 * n_symbols // greatest(n_words, 1) AS symbol_rate, 1000 * n_dup_lines // greatest(n_words, 1) AS line_rate,
+    1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 100 * word_chars // greatest(n_words, 1) AS word_length
+  FROM counts
+), rates AS (
+  UNPIVOT (SELECT lang, source, symbol_rate, line_rate, repeat_rate, word_length FROM base WHERE NOT base_failed)
+  ON symbol_rate, line_rate, repeat_rate, word_length INTO NAME rate VALUE v
+), bins AS (
+  SELECT lang, source, rate, (v >> k) << k AS bin, count(*) AS n
+  FROM (SELECT *, greatest(length(bin(v)) - 7, 0)::INT AS k FROM rates) GROUP BY ALL
+), levels AS (
+  SELECT 1 AS level, lang, source, rate, bin, n FROM bins
+  UNION ALL SELECT 2, lang, NULL, rate, bin, sum(n) FROM bins GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, rate, bin, sum(n) FROM bins GROUP BY ALL
+), running AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bin) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM levels
+), quartiles AS (
+  SELECT level, lang, source, rate, max(total) AS total, min(bin) FILTER (upto * 4 >= total) AS q1,
+    min(bin) FILTER (upto * 4 >= total * 3) AS q3 FROM running GROUP BY ALL
+), chosen AS (
+  SELECT a.lang, a.source, a.rate,
+    CASE WHEN a.total >= 30 THEN a.q1 WHEN b.total >= 30 THEN b.q1 ELSE c.q1 END AS q1,
+    CASE WHEN a.total >= 30 THEN a.q3 WHEN b.total >= 30 THEN b.q3 ELSE c.q3 END AS q3
+  FROM quartiles a JOIN quartiles b ON b.level = 2 AND a.lang IS NOT DISTINCT FROM b.lang AND a.rate = b.rate
+  JOIN quartiles c ON c.level = 3 AND a.rate = c.rate WHERE a.level = 1
+), limits AS (
+  SELECT lang, source,
+    max(q3 + 3 * (q3 - q1) + 100) FILTER (rate = 'symbol_rate') AS symbols,
+    max(q3 + 3 * (q3 - q1) + 20) FILTER (rate = 'line_rate') AS lines,
+    max(q3 + 3 * (q3 - q1) + 250) FILTER (rate = 'repeat_rate') AS repeats,
+    max(q3 + 3 * (q3 - q1) + 100) FILTER (rate = 'word_length') AS longest,
+    max(q1 - 3 * (q3 - q1) - 100) FILTER (rate = 'word_length') AS shortest
+  FROM chosen GROUP BY ALL
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(symbol_rate <= symbols AND line_rate <= lines AND repeat_rate <= repeats
+    AND word_length <= longest AND word_length >= shortest, false) AS kept
+FROM base b LEFT JOIN limits l ON b.lang IS NOT DISTINCT FROM l.lang AND b.source IS NOT DISTINCT FROM l.source
+"""
+
+ORACLES = {"op10_jaccard_join": JACCARD, "op5_chat": CHAT, "op6_quality_rules": RULES}
