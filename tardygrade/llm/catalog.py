@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, leaks, pieces, quality, repeats, rules, toxicity, urls
+from . import chat, jaccard, leaks, pieces, quality, repeats, rules, toxicity, urls, warc
 from .oracles import ORACLES
 from .common import crc_fold, read
 
@@ -73,6 +73,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives."""
+    return warc.archived(read(spark, sf_dir, "pages"), payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every url."""
     return urls.judged(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "words", "log_odds")
@@ -84,7 +91,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_decontamination, op4_toxicity, op5_chat, op6_quality_rules, op7_suffix_dedup, op9_url_filter, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_decontamination, op4_toxicity, op5_chat, op6_quality_rules, op7_suffix_dedup, op8_warc, op9_url_filter, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
