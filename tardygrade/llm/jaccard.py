@@ -29,10 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import int_lists, materialize, pieces, texts
+from .common import fresh, int_lists, materialize, pieces, texts
 from .graph import components
 
 
@@ -247,9 +247,11 @@ def _identity(text: str | Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
-def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """(doc_id, class_id, text_id, n_links, n_copies), one row per row of ``df``."""
-    rows = df.select(*_identity(F.col(text_col)), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def text_classes(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(h1, h2, root, text_id, n_links, n_copies) of every distinct text of ``rows`` (h1, h2, doc_id, text).
+
+    Texts of one class have the same ``root``.
+    """
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     keyed = rows.mapInArrow(_keys_of_batches(s), f"h1 long, h2 long, doc_id {id_type}, keys array<bigint>")
@@ -285,9 +287,43 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     groups = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("node", "h1", "h2", "text_id", "n_copies").join(links, "node", "left")
-    named = materialize(named.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    ids = named.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    named = named.join(ids, "root").select(
-        "h1", "h2", "class_id", "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
+    named = named.join(groups, "node", "left").select(
+        "h1", "h2", F.coalesce("root", "node").alias("root"), "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
     )
+    return materialize(named, "named")
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(*_identity(F.col(text_col)), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
+    """(doc_id, class_id, text_id, n_links, n_copies), one row per row of ``df``."""
+    rows = _rows(df, id_col, text_col)
+    named = text_classes(rows, s)
+    ids = named.groupBy("root").agg(F.min("text_id").alias("class_id"))
+    named = named.join(ids, "root").select("h1", "h2", "class_id", "text_id", "n_links", "n_copies")
     return rows.select("h1", "h2", "doc_id").join(named, ["h1", "h2"]).drop("h1", "h2")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each class the row with the smallest id.
+
+    A null id counts as smallest, and of rows with one id the text with the smallest hash
+    stays; of rows with equal id and text it is the first by the other columns.
+    """
+    rows = _rows(df, id_col, text_col).select("h1", "h2", "doc_id")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h1", "h2")
+    least = rows.join(text_classes(_rows(df, id_col, text_col), s), ["h1", "h2"]).groupBy("root").agg(F.min(place).alias("p"))
+    # Plain keys, so that the join and the numbering share one shuffle.
+    keys = [fresh(df, name) for name in ("_h1", "_h2", "_known", "_id")]
+    number = fresh(df, "_number")
+    key_of = lambda known, ident, h1, h2: [
+        c.alias(k) for k, c in zip(keys, (h1, h2, known, F.when(known, ident.cast("string")).otherwise("")))
+    ]
+    wanted = least.select(*key_of(F.col("p.known"), F.col("p.doc_id"), F.col("p.h1"), F.col("p.h2")))
+    own = key_of(F.col(id_col).isNotNull(), F.col(id_col), *_identity(F.col(text_col)))
+    order = [F.asc_nulls_first(c) for c in df.columns if c not in (id_col, text_col)] or [F.lit(0)]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    found = df.select("*", *own).join(wanted, keys).withColumn(number, first)
+    return found.filter(F.col(number) == 1).select(*[df[c] for c in df.columns])

@@ -438,21 +438,33 @@ def _marks(rows: list[tuple]) -> pa.Table:
 # Cutting ----------------------------------------------------------------------
 
 
+def _marked(table: pa.Table, text: str, right: pa.Table, s: Settings) -> tuple[np.ndarray, ...]:
+    """Bytes of a slice, bounds of its texts, and which places are to go; a free place follows each text."""
+    data, ends = _bytes_of(table, text)
+    gap = ends + np.arange(len(ends))
+    change = np.zeros(int(gap[-1]) + 1, np.int32)
+    for marks in right.select(["docs", "starts", "counts"]).to_pylist():
+        if marks["docs"]:
+            doc, start, count = (np.array(marks[c], np.int64) for c in ("docs", "starts", "counts"))
+            np.add.at(change, gap[doc] + start, 1)
+            np.add.at(change, gap[doc] + start + count - 1 + s.length, -1)
+    return data, ends, gap, np.cumsum(change)[: int(gap[-1])] > 0
+
+
+def _rest(data: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> list[bytes]:
+    """The kept bytes of each text."""
+    offsets = np.r_[0, np.cumsum(kept)][ends]
+    rest = data[kept].tobytes()
+    return [rest[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
 def _cut(text: str, drop: str, names: list[str], s: Settings):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
         for row in left.to_pylist():
             table = _unpack(row["blob"])
-            data, ends = _bytes_of(table, text)
+            data, ends, gap, gone = _marked(table, text, right, s)
             n, sizes = len(ends) - 1, np.diff(ends)
-            gap = ends + np.arange(n + 1)  # a free place after each document
-            change = np.zeros(int(gap[-1]) + 1, np.int32)
-            for marks in right.select(["docs", "starts", "counts"]).to_pylist():
-                if marks["docs"]:
-                    doc, start, count = (np.array(marks[c], np.int64) for c in ("docs", "starts", "counts"))
-                    np.add.at(change, gap[doc] + start, 1)
-                    np.add.at(change, gap[doc] + start + count - 1 + s.length, -1)
-            gone = np.cumsum(change)[: int(gap[-1])] > 0
             edge = np.diff(np.r_[0, gone.astype(np.int8), 0])
             begin, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
             owner = np.searchsorted(gap, begin, side="right") - 1
@@ -462,13 +474,10 @@ def _cut(text: str, drop: str, names: list[str], s: Settings):
                 names=["start", "end"],
             )
             kept = ~gone[np.arange(len(data)) + np.repeat(np.arange(n), sizes)]
-            left_over = np.bincount(np.repeat(np.arange(n), sizes)[kept], minlength=n)
-            offsets = np.r_[0, np.cumsum(left_over)]
-            rest = data[kept].tobytes()
             added = [
                 pa.array(sizes, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_doc)].astype(np.int32)), spans),
-                pa.array([rest[a:b] for a, b in zip(offsets, offsets[1:])], pa.binary()),
+                pa.array(_rest(data, ends, kept), pa.binary()),
             ]
             columns = [table.column(c).combine_chunks() for c in table.column_names if c not in (drop, *names)]
             kept_names = [c for c in table.column_names if c not in (drop, *names)]
@@ -478,11 +487,30 @@ def _cut(text: str, drop: str, names: list[str], s: Settings):
     return run
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """Adds n_bytes, spans (removed byte ranges) and kept (the other bytes) to every row of ``df``."""
+def _cut_text(text: str, drop: str, s: Settings):
+    """Slices with the kept part of their texts; a character that is cut in part stays whole."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = []
+        for row in left.to_pylist():
+            table = _unpack(row["blob"])
+            data, ends, _, gone = _marked(table, text, right, s)
+            kept = ~gone[np.arange(len(data)) + np.repeat(np.arange(len(ends) - 1), np.diff(ends))]
+            letter = np.cumsum((data & 0xC0) != 0x80)
+            stays = np.zeros(int(letter[-1]) + 1 if len(letter) else 1, bool)
+            stays[letter[kept]] = True
+            rest = pa.array([part.decode() for part in _rest(data, ends, stays[letter])], pa.string())
+            table = table.drop_columns([drop])
+            tables.append(table.set_column(table.column_names.index(text), text, rest))
+        return pa.concat_tables(tables)
+
+    return run
+
+
+def _slices_and_marks(df: DataFrame, id_col: str, text_col: str, key: str, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """The slices of ``df`` and, for each, what is to be cut out of it."""
     spark = df.sparkSession
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = fresh(df, "order_key")
     keyed = df.withColumn(key, F.col(id_col).cast("long"))
     kind = "slice long, ids array<long>, h1 array<long>, h2 array<long>, blob binary"
     slices = materialize(keyed.mapInArrow(_slices(text_col, key, s), kind), "slices")
@@ -511,9 +539,21 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marks = matched.select("slice", "docs", "starts", "counts").unionByName(
         settled.withColumn("counts", F.array(F.lit(1)))
     )
-    names = ["n_bytes", "spans", "kept"]
+    return slices.select("slice", "blob").groupBy("slice"), marks.groupBy("slice")
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
+    """Adds n_bytes, spans (removed byte ranges) and kept (the other bytes) to every row of ``df``."""
+    key, names = fresh(df, "order_key"), ["n_bytes", "spans", "kept"]
+    slices, marks = _slices_and_marks(df, id_col, text_col, key, s)
     schema = StructType([f for f in df.schema if f.name not in names])
     span = StructType().add("start", IntegerType()).add("end", IntegerType())
     schema = schema.add("n_bytes", "long").add("spans", ArrayType(span)).add("kept", "binary")
-    cut = _cut(text_col, key, names, s)
-    return slices.select("slice", "blob").groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(cut, schema)
+    return slices.cogroup(marks).applyInArrow(_cut(text_col, key, names, s), schema)
+
+
+def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
+    """The rows of ``df`` with repeats cut out of their texts, in whole characters."""
+    key = fresh(df, "order_key")
+    slices, marks = _slices_and_marks(df, id_col, text_col, key, s)
+    return slices.cogroup(marks).applyInArrow(_cut_text(text_col, key, s), df.schema)
