@@ -310,9 +310,9 @@ def oracle_sql() -> dict[str, str]:
     silver_columns = ", ".join(DAY if c == "fl_date" else c for c in SILVER_COLUMNS)
     key_columns = f"{DAY}, op_unique_carrier, route, scheduled_dep_hour, is_delayed"
     preview = f"{DAY}, op_unique_carrier, origin, dest, crs_dep_time, scheduled_dep_hour, scheduled_dep_minute, flight_status, arr_delay, is_delayed"
-    gapped = ["reliable_route_delay_rate", "reliable_origin_delay_rate", "route_flights_last_7d", "route_delay_rate_last_7d"]
-    medians = ", ".join(f"(SELECT quantile_cont({c}, 0.5) FROM v1 WHERE fl_date < DATE '{P.train_end}') AS m_{c}" for c in gapped)
-    imputed = f"SELECT fl_date, route, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in gapped)} FROM v1, (SELECT {medians})"
+    gapped = MODEL_FEATURES_V2
+    medians = ", ".join(f"(SELECT quantile_cont({c}, 0.5) FROM v2 WHERE fl_date < DATE '{P.train_end}') AS m_{c}" for c in gapped)
+    imputed = f"SELECT fl_date, route, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in gapped)} FROM v2, (SELECT {medians})"
     scales = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in gapped)
     train = f"fl_date < DATE '{P.train_end}'"
     quality_p, quality_r, quality_f = _quality_sql("tp", "fp", "fn")
@@ -365,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "null_counts": _with(f"SELECT {', '.join(f'count(*) FILTER (WHERE {c} IS NULL) AS {c}' for c in SILVER_COLUMNS[:24])} FROM trips", "trips"),
         "duplicate_groups": _with(
-            "SELECT count(*) AS duplicate_groups FROM (SELECT 1 FROM trips GROUP BY fl_date, op_unique_carrier, origin, dest, crs_dep_time, arr_delay, cancelled, diverted HAVING count(*) > 1)", "trips"
+            "SELECT count(*) AS duplicate_groups FROM (SELECT *, count(*) AS copies FROM trips GROUP BY ALL HAVING count(*) > 1)", "trips"
         ),
         "summary_delay": _summary(["dep_delay", "arr_delay", "cancelled", "diverted"], "trips"),
         "summary_ops": _summary(["dep_delay", "arr_delay", "taxi_out", "taxi_in", "air_time", "distance"], "completed"),
@@ -428,9 +428,10 @@ def oracle_sql() -> dict[str, str]:
             + " ".join(f"LEFT JOIN (SELECT {c} AS v, count(*) AS n FROM parts WHERE part = 'train' GROUP BY ALL) f_{c} ON f_{c}.v = parts.{c}" for c in CATEGORICAL),
             "parts",
         ),
-        "median_impute": _with(f"SELECT {DAY}, route, {', '.join(f'{_r6(c)} AS {c}' for c in gapped)} FROM ({imputed})", "v1"),
+        "median_impute": _with(f"SELECT {DAY}, route, {', '.join(f'{_r6(c)} AS {c}' for c in gapped)} FROM ({imputed})", "v2"),
+        "imputed_nulls": " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_infinite" for c in gapped),
         "standard_scale": _with(
-            f"SELECT {DAY}, route, {', '.join(f'{_r6(f'({c} - a_{c}) / s_{c}')} AS {c}' for c in gapped)} FROM ({imputed}), (SELECT {scales} FROM ({imputed}) WHERE {train})", "v1"
+            f"SELECT {DAY}, route, {', '.join(f'{_r6(f'({c} - a_{c}) / s_{c}')} AS {c}' for c in gapped)} FROM ({imputed}), (SELECT {scales} FROM ({imputed}) WHERE {train})", "v2"
         ),
         "class_weights": _with("SELECT is_delayed, n, CAST(sum(n) OVER () AS DOUBLE) / count(*) OVER () / n AS weight FROM (SELECT is_delayed, count(*) AS n FROM parts WHERE part = 'train' AND is_delayed IS NOT NULL GROUP BY ALL)", "parts"),
         "scale_pos_weight": _with("SELECT n AS negatives, p AS positives, n / p AS scale_pos_weight FROM (SELECT count(*) FILTER (WHERE is_delayed = 0) AS n, count(*) FILTER (WHERE is_delayed = 1) AS p FROM parts WHERE part = 'train')", "parts"),
@@ -476,6 +477,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "model_kpis": _kpi_sql(),
     }
+    sql["odd_time_history"] = _odd_times_sql()
     for name, key in KEYS.items():
         sql[f"daily_{name}"] = _with(f"SELECT CAST(completed.fl_date AS VARCHAR) AS fl_date, {key}, count(*) AS {name}_flights, CAST(sum(is_delayed) AS BIGINT) AS {name}_delayed FROM completed GROUP BY ALL", "completed")
         sql[f"hist_{name}"] = _with(f"SELECT {DAY}, {key}, is_delayed, historical_{name}_flights, historical_{name}_delay_rate FROM v1", "v1")
@@ -488,6 +490,21 @@ def oracle_sql() -> dict[str, str]:
     return sql
 
 
+def _odd_times_sql() -> str:
+    """Histories over trips whose departure times are changed as in the query."""
+    changed = "CASE distance % 13 WHEN 0 THEN NULL WHEN 1 THEN -1 WHEN 2 THEN 2360 ELSE crs_dep_time END"
+    columns = [f"historical_{n}_flights, historical_{n}_delay_rate, {n}_flights_last_7d, {n}_delay_rate_last_7d" for n in KEYS]
+    for n, (_, _, week) in CONTEXTS.items():
+        counts = [f"historical_{n}_flights"] + ([f"{n}_flights_last_7d"] if week else [])
+        rates = [f"historical_{n}_delay_rate"] + ([f"{n}_delay_rate_last_7d"] if week else [])
+        columns += [f"CASE WHEN flight_timestamp IS NULL THEN 0 ELSE {c} END AS {c}" for c in counts]
+        columns += [f"CASE WHEN flight_timestamp IS NOT NULL THEN {c} END AS {c}" for c in rates]
+    sql = _with(f"SELECT {DAY}, route, crs_dep_time, {', '.join(columns)} FROM v2", "v2")
+    head = "AS MATERIALIZED ("
+    changed_trips = f"trips {head}SELECT * REPLACE ({changed} AS crs_dep_time) FROM plain), silver {head}"
+    return sql.replace(f"trips {head}", f"plain {head}", 1).replace(f"silver {head}", changed_trips, 1)
+
+
 def _features(second: bool) -> str:
     from ..contract import FEATURES_V1, FEATURES_V2
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 )
-# Rate and count columns with gaps, for the preparation queries.
-GAPPED = ["reliable_route_delay_rate", "reliable_origin_delay_rate", "route_flights_last_7d", "route_delay_rate_last_7d"]
+# Labelled training rows, at most about so many, that the registered model fits see.
+LABELLED_ROWS = 4_000
 HASH_KEYS = ["fl_date", "op_unique_carrier", "origin", "dest", "crs_dep_time", "distance"]
 STATUS_COLUMNS = ["fl_date", "op_unique_carrier", "origin", "dest", "cancelled", "diverted"]
 TOP_COLUMNS = ["fl_date", "op_unique_carrier", "origin", "dest", "dep_delay", "arr_delay", "cancelled", "diverted"]
@@ -83,6 +84,10 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFr
     return _STORED[key]
 
 
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "trips", trips)
+
+
 def _build_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.silver(check_contract(trips(spark, sf_dir)), P.delay_minutes)
 
@@ -286,8 +291,7 @@ def _(spark, sf_dir):
 
 @_register("duplicate_groups")
 def _(spark, sf_dir):
-    cols = ["fl_date", "op_unique_carrier", "origin", "dest", "crs_dep_time", "arr_delay", "cancelled", "diverted"]
-    return quality.duplicate_groups(trips(spark, sf_dir).select(*cols))
+    return quality.duplicate_groups(_trips(spark, sf_dir))
 
 
 SUMMARY = ["mean", "stddev", "p25", "p50", "p75"]
@@ -295,7 +299,7 @@ SUMMARY = ["mean", "stddev", "p25", "p50", "p75"]
 
 @_register("summary_delay", SUMMARY)
 def _(spark, sf_dir):
-    return quality.summary(trips(spark, sf_dir), ["dep_delay", "arr_delay", "cancelled", "diverted"])
+    return quality.summary(_trips(spark, sf_dir), ["dep_delay", "arr_delay", "cancelled", "diverted"])
 
 
 @_register("summary_ops", SUMMARY)
@@ -375,12 +379,7 @@ def _(spark, sf_dir):
 
 @_register("label_distribution")
 def _(spark, sf_dir):
-    scored = _predictions(spark, sf_dir)
-    tables = [
-        quality.pct_of_total(scored.select(F.lit(c).alias("field"), F.col(c).cast("string").alias("label")), ["label"], ["field"])
-        for c in ("is_delayed", "predicted_delay", "risk_category")
-    ]
-    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return quality.value_shares(_predictions(spark, sf_dir), ["is_delayed", "predicted_delay", "risk_category"])
 
 
 # Group statistics -----------------------------------------------------------
@@ -508,6 +507,16 @@ def _(spark, sf_dir):
     return features.features_v2(_completed(spark, sf_dir), P.reliable_min)
 
 
+@_register("odd_time_history")
+def _(spark, sf_dir):
+    """All histories of trips some of which have no, a negative or a too large departure time."""
+    kind = F.col("distance") % 13
+    odd = F.when(kind == 0, F.lit(None)).when(kind == 1, -1).when(kind == 2, 2360).otherwise(F.col("crs_dep_time"))
+    table = silver.completed(silver.silver(_trips(spark, sf_dir).withColumn("crs_dep_time", odd.cast("int"))))
+    columns = [c for e in ALL_ENTITIES for part in e.parts for c in part.columns]
+    return history.attach_history(materialize(table, "odd_times"), ALL_ENTITIES).select("fl_date", "route", "crs_dep_time", *columns)
+
+
 # Sampling, encoding, preparation --------------------------------------------
 
 
@@ -532,24 +541,30 @@ def _(spark, sf_dir):
     return table.select("fl_date", "part", *CATEGORICAL, *[f"{c}_frequency" for c in CATEGORICAL])
 
 
-def _gapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Columns with gaps for all trips, and those of the training part."""
-    table = _stored_features(spark, sf_dir).select("fl_date", "route", *GAPPED)
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All inputs of the second model for all trips, and those of the training part."""
+    table = _stored_features(spark, sf_dir).select("fl_date", "route", *MODEL_FEATURES_V2)
     return table, table.filter(F.col("fl_date") < F.lit(P.train_end))
 
 
-@_register("median_impute", GAPPED)
+@_register("median_impute", MODEL_FEATURES_V2)
 def _(spark, sf_dir):
-    table, train = _gapped(spark, sf_dir)
-    return prepare.impute(table, prepare.fit_medians(train, GAPPED))
+    table, train = _inputs(spark, sf_dir)
+    return prepare.impute(table, prepare.fit_medians(train, MODEL_FEATURES_V2))
 
 
-@_register("standard_scale", GAPPED)
+@_register("imputed_nulls")
 def _(spark, sf_dir):
-    table, train = _gapped(spark, sf_dir)
-    medians = prepare.fit_medians(train, GAPPED)
-    scales = prepare.fit_scale(prepare.impute(train, medians), GAPPED)
-    return prepare.scale(prepare.impute(table, medians), scales)
+    """Missing and infinite model inputs after imputation."""
+    table, train = _inputs(spark, sf_dir)
+    return quality.feature_nulls(prepare.impute(table, prepare.fit_medians(train, MODEL_FEATURES_V2)), MODEL_FEATURES_V2)
+
+
+@_register("standard_scale", MODEL_FEATURES_V2)
+def _(spark, sf_dir):
+    table, train = _inputs(spark, sf_dir)
+    medians = prepare.fit_medians(train, MODEL_FEATURES_V2)
+    return prepare.scale(prepare.impute(table, medians), prepare.fit_scale(train, MODEL_FEATURES_V2, medians))
 
 
 @_register("class_weights")
@@ -690,7 +705,23 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 SCORED = ["fl_date", "op_unique_carrier", "origin", "dest", "route", "scheduled_dep_hour", "is_delayed", "delay_probability"]
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
+_MODELS: dict[tuple[str, str, str], PipelineModel] = {}
+
+
+def _model(spark: SparkSession, sf_dir: str, kind: str, first: bool = False) -> PipelineModel:
+    """A model at its documented settings, fitted once per session on a bounded sample of the training part.
+
+    The sample bounds the rows only; ``first`` chooses the inputs and settings of the first models.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, f"{kind}{1 if first else 2}")
+    if key not in _MODELS:
+        table = split.freq_encode(_stored_features(spark, sf_dir)) if first else _stored_features(spark, sf_dir)
+        train = split.bernoulli(split.part_of(table, "train"), n=LABELLED_ROWS)
+        train = materialize(train.coalesce(1), "sample")
+        settings = {"logistic": models.LOGISTIC_V1, "forest": models.FOREST_V1, "boosted": models.BOOSTED_V1}
+        chosen = settings[kind] if first else models.FINAL[kind]
+        _MODELS[key] = models.fit(train, MODEL_FEATURES_V1 if first else MODEL_FEATURES_V2, kind, **chosen)
+    return _MODELS[key]
 
 
 @_register("feature_vector")
@@ -701,44 +732,37 @@ def _(spark, sf_dir):
     return table.select("fl_date", "route", "part", vector_to_array("features").alias("features"))
 
 
-@_register("lr_scores")
-def _(spark, sf_dir):
-    train, validation, _ = _parts(spark, sf_dir)
-    return models.score(models.fit(train, MODEL_FEATURES_V2, "logistic", maxIter=50), validation).select(*SCORED)
-
+def _scores(kind: str, first: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = _stored_features(spark, sf_dir)
+        table = split.freq_encode(table) if first else table
+        return models.score(_model(spark, sf_dir, kind, first), split.part_of(table, "validation")).select(*SCORED)
 
-@_register("rf_scores")
-def _(spark, sf_dir):
-    train, validation, _ = _parts(spark, sf_dir)
-    return models.score(models.fit(train, MODEL_FEATURES_V2, "forest", **SMALL_FOREST), validation).select(*SCORED)
+    return run
 
 
-@_register("gbt_scores")
-def _(spark, sf_dir):
-    train, validation, _ = _parts(spark, sf_dir)
-    model = models.fit(train, MODEL_FEATURES_V2, "boosted", maxIter=5, maxDepth=4, stepSize=0.3)
-    return models.score(model, validation).select(*SCORED)
+for _name, _kind in (("lr", "logistic"), ("rf", "forest"), ("gbt", "boosted")):
+    _register(f"{_name}_scores")(_scores(_kind))
+    _register(f"{_name}_v1_scores")(_scores(_kind, first=True))
 
 
 @_register("score_test")
 def _(spark, sf_dir):
-    train, _, test = _parts(spark, sf_dir)
-    model = models.fit(train, MODEL_FEATURES_V2, "forest", **SMALL_FOREST)
-    return report.predictions(models.score(model, test), threshold=P.threshold, edges=P.risk_edges)
+    _, _, test = _parts(spark, sf_dir)
+    scored = models.score(_model(spark, sf_dir, "forest"), test)
+    return report.predictions(scored, threshold=P.threshold, edges=P.risk_edges)
 
 
 @_register("feature_importance")
 def _(spark, sf_dir):
-    train, _, _ = _parts(spark, sf_dir)
-    model = models.fit(train, MODEL_FEATURES_V2, "forest", **SMALL_FOREST)
-    return models.importance(model, MODEL_FEATURES_V2, 20, spark)
+    return models.importance(_model(spark, sf_dir, "forest"), MODEL_FEATURES_V2, 20, spark)
 
 
 @_register("model_roundtrip")
 def _(spark, sf_dir):
     """Test scores of a model that was saved and loaded again, beside those of the original."""
-    train, _, test = _parts(spark, sf_dir)
-    model = models.fit(train, MODEL_FEATURES_V2, "forest", **SMALL_FOREST)
+    _, _, test = _parts(spark, sf_dir)
+    model = _model(spark, sf_dir, "forest")
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/model"
     models.save(model, path)
     both = models.score(models.load(path), models.score(model, test, "original"), "reloaded")

@@ -5,11 +5,18 @@ trailing days. *Context* history looks at trips of the same key in the same hour
 day (or on the same day of the week) that were scheduled at least ``min_lag_seconds``
 earlier: all of them, and those of a trailing span.
 
-All histories of one key depend on a trip only through the key and its scheduled minute.
-So trips are first counted per key and minute. Map-side aggregation does most of that,
+All histories of one key depend on a trip only through the key, its date, its scheduled
+time and its weekday. So trips are first counted per key and these columns. Map-side aggregation does most of that,
 and afterwards even a key with a third of all trips has at most 1,440 rows per day of
-the calendar. All windows of the key run on this table in one partitioning, and the
+the calendar (a few more if it has invalid times). All windows of the key run on this table in one partitioning, and the
 trips are joined with the result once per key, not once per history.
+
+Missing and invalid values. A trip without a date is in no history of others, and has no
+day history (null) and an empty context history (count 0). A trip without a scheduled hour
+or minute has no moment: it counts for day histories, but in no context history, and its
+own context history is empty. Times such as -1 or 2360 are taken as they decode: the moment
+is hour * 60 + minute minutes after the start of the day. A missing key or weekday is a
+group of its own in context histories.
 """
 
 from __future__ import annotations
@@ -23,7 +30,8 @@ from pyspark.sql import functions as F
 from ..functions import epoch_seconds, rate
 
 DAY_SECONDS = 86_400
-SLOT = "_slot"
+# What a trip's histories depend on besides its key and date.
+TIME = ("scheduled_dep_hour", "scheduled_dep_minute", "day_of_week")
 
 
 @dataclass(frozen=True)
@@ -118,8 +126,10 @@ class _Sums:
     late: Column
 
     @staticmethod
-    def over(frame) -> _Sums:
-        return _Sums(*[F.coalesce(F.sum(c).over(frame), F.lit(0)) for c in ("n", "known", "late")])
+    def over(frame, order: str | None = None) -> _Sums:
+        """Sums over a frame; with ``order``, rows where it is null are left out."""
+        counts = [F.col(c) if order is None else F.when(F.col(order).isNotNull(), F.col(c)) for c in ("n", "known", "late")]
+        return _Sums(*[F.coalesce(F.sum(c).over(frame), F.lit(0)) for c in counts])
 
     def __sub__(self, other: _Sums) -> _Sums:
         return _Sums(self.n - other.n, self.known - other.known, self.late - other.late)
@@ -134,13 +144,14 @@ def _frames(group: Sequence[str], order: str, span: int | None, lag: int) -> lis
 
     The trailing sums are differences of two expanding ones. Spark carries an
     expanding frame along from row to row, whereas it adds up a sliding frame anew
-    for each row; both frames come from the same sort.
+    for each row; both frames come from the same sort. Rows without a value to order by
+    sort first, into every frame, so they count as nothing.
     """
     in_order = Window.partitionBy(*group).orderBy(order)
-    before = _Sums.over(in_order.rangeBetween(Window.unboundedPreceding, -lag))
+    before = _Sums.over(in_order.rangeBetween(Window.unboundedPreceding, -lag), order)
     if span is None:
         return [before]
-    return [before, before - _Sums.over(in_order.rangeBetween(Window.unboundedPreceding, -span - 1))]
+    return [before, before - _Sums.over(in_order.rangeBetween(Window.unboundedPreceding, -span - 1), order)]
 
 
 def _day_columns(entity: Entity, order: str) -> dict[str, Column]:
@@ -170,34 +181,18 @@ def _pairs(names: Sequence[str]) -> list[tuple[str, str]]:
 # Counting and joining -------------------------------------------------------
 
 
-def _slot(date: str) -> Column:
-    """Day, hour, minute and weekday of a trip as one number."""
-    hour, minute, weekday = (F.col(c) for c in ("scheduled_dep_hour", "scheduled_dep_minute", "day_of_week"))
-    return F.unix_date(date).cast("long") * 100_000 + hour * 1_000 + minute * 10 + weekday
-
-
-def _unpack_slot(df: DataFrame) -> DataFrame:
-    in_day = F.pmod(F.col(SLOT), F.lit(100_000))
-    df = df.withColumns(
-        {
-            "_day": F.floor(F.col(SLOT) / 100_000),
-            "scheduled_dep_hour": F.floor(in_day / 1_000),
-            "_minute": F.floor(in_day / 10) % 100,
-            "day_of_week": in_day % 10,
-        }
-    )
-    moment = F.col("_day") * DAY_SECONDS + F.col("scheduled_dep_hour") * 3_600 + F.col("_minute") * 60
-    return df.withColumn("_moment", moment)
+def _grain(entity: Entity, date: str) -> list[str]:
+    """The columns that the histories of an entity depend on; the date alone without contexts."""
+    return [entity.key, date, *(TIME if entity.contexts else ())]
 
 
 def entity_table(df: DataFrame, entity: Entity, date: str = "fl_date", label: str = "is_delayed") -> DataFrame:
-    """All history columns of one entity, per key and day or, with contexts, per key and slot."""
+    """All history columns of one entity, per key, date and, with contexts, time and weekday."""
+    grain = _grain(entity, date)
+    counts = label_counts(df, grain, label).withColumn("_day", F.unix_date(date))
     if entity.contexts:
-        counts = _unpack_slot(label_counts(df, [entity.key, _slot(date).alias(SLOT)], label))
-        grain = [entity.key, SLOT]
-    else:
-        counts = label_counts(df, [entity.key, date], label).withColumn("_day", F.unix_date(date))
-        grain = [entity.key, date]
+        moment = epoch_seconds(F.col(date), F.col("scheduled_dep_hour"), F.col("scheduled_dep_minute"))
+        counts = counts.withColumn("_moment", moment)
     if len(entity.parts) > 1:
         # One shuffle by key serves the windows by key, by key and hour, and by key and weekday.
         counts = counts.repartition(entity.key)
@@ -218,38 +213,23 @@ def attach_history(
 ) -> DataFrame:
     """Adds the history columns of all ``entities`` to every row of ``df``.
 
+    ``df`` is read once for each entity and once for the joins, so it should be a stored table.
     ``dense=True`` is for data with many trips per minute and combination of keys:
     histories are joined with the distinct combinations first, and the wide trips
     with the result once. ``grain_density`` measures whether that pays.
     """
-    with_time = any(e.contexts for e in entities)
-    keyed = df.withColumn(SLOT, _slot(date)) if with_time else df
-    grain = list(dict.fromkeys([*[e.key for e in entities], date, *([SLOT] if with_time else [])]))
-
-    table = keyed.select(*grain).distinct() if dense else keyed
+    grain = list(dict.fromkeys(c for e in entities for c in _grain(e, date)))
+    table = df.select(*grain).distinct() if dense else df
     for entity in entities:
-        table = _join_on_key(table, entity_table(df, entity, date, label), entity.key, SLOT if entity.contexts else date)
+        table = _join_null_safe(table, entity_table(df, entity, date, label), _grain(entity, date))
     if dense:
-        same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in grain]
-        table = keyed.join(table.withColumnsRenamed({c: f"_g_{c}" for c in grain}), same, "left")
+        table = _join_null_safe(df, table, grain)
     return table.select(*df.columns, *[c for e in entities for part in e.parts for c in part.columns])
 
 
-def _join_on_key(left: DataFrame, right: DataFrame, key: str, time: str) -> DataFrame:
-    """Left join on time and key; missing keys equal each other, as they do in a window.
-
-    The right side has one row per key and time, so its shuffle partitions are even
-    and a trip matches once at most. A hot combination can only be on the left,
-    where adaptive execution splits it.
-    """
-    other = right.withColumnsRenamed({key: "_other_key", time: "_other_time"})
-    same = F.col(key).eqNullSafe(F.col("_other_key")) & (F.col(time) == F.col("_other_time"))
-    return left.join(other, same, "left").drop("_other_key", "_other_time")
-
-
 def grain_density(df: DataFrame, entities: Sequence[Entity] = ALL_ENTITIES, date: str = "fl_date") -> float:
     """Trips per distinct combination of keys and minute, estimated in one pass with a fixed-size sketch."""
-    parts = [F.col(e.key) for e in entities] + [_slot(date) if any(e.contexts for e in entities) else F.col(date)]
+    parts = list(dict.fromkeys(c for e in entities for c in _grain(e, date)))
     row = df.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct(*parts), 0.02).alias("groups")).first()
     return row["n"] / max(row["groups"], 1)
 
@@ -324,6 +304,12 @@ def attach_second_history(
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join in which missing values equal each other, as they do in a window.
+
+    The right side has one row per combination, so its shuffle partitions are even and a
+    row matches once at most. A hot combination can only be on the left, where adaptive
+    execution splits it.
+    """
     other = right.withColumnsRenamed({c: f"_other_{c}" for c in on})
     same = [F.col(c).eqNullSafe(F.col(f"_other_{c}")) for c in on]
     return left.join(other, same, "left").drop(*[f"_other_{c}" for c in on])

@@ -12,7 +12,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contract import NOT_MODEL_INPUTS
 from ..session import shared_folder
 from .prepare import class_weights, fit_medians, fit_scale, pos_weight
 
@@ -27,6 +26,9 @@ LOGISTIC_V2 = {"maxIter": 2000}
 BOOSTED_V1 = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "minInstancesPerNode": 10}
 BOOSTED_V2 = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05}
 
+# The settings of a final model of each kind.
+FINAL = {"logistic": LOGISTIC_V2, "forest": FOREST_FINAL, "boosted": BOOSTED_V2}
+
 _DEFAULTS: dict[str, dict[str, Any]] = {
     "logistic": {"elasticNetParam": 0.0, "standardization": False},
     "forest": {"minInstancesPerNode": 20, "featureSubsetStrategy": "sqrt", "seed": 42},
@@ -117,7 +119,3 @@ def save(model: PipelineModel, path: str) -> None:
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
-
-def numeric_inputs(df: DataFrame) -> list[str]:
-    """The columns of a feature table that a model may use."""
-    return [c for c in df.columns if c not in NOT_MODEL_INPUTS]

@@ -54,14 +54,11 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     return copies.agg(F.count("*").alias("duplicate_groups"))
 
 
-def summary(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum of numeric columns.
+def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Count, mean, sample deviation, minimum, quartiles and maximum of numeric columns, one row each.
 
-    ``exact=False`` is Spark's own ``summary`` with approximate quartiles as text;
-    the exact variant has one typed row per column.
+    ``df`` is read twice, once for the quartiles, so it should be a stored table.
     """
-    if not exact:
-        return df.select(*cols).summary()
     quartiles = exact_quantiles(df, cols, (0.25, 0.50, 0.75))
     names = ("p25", "p50", "p75")
     stats = {
@@ -176,6 +173,12 @@ def value_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return per_column(df, cols, {"min": lambda c: F.min(c), "max": lambda c: F.max(c)})
 
 
+def value_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows and percentage per value of several columns, (field, label, flights, percentage), in one pass."""
+    cells = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("label")) for c in cols]
+    return pct_of_total(df.select(F.inline(F.array(*cells))), ["label"], ["field"])
+
+
 def unreliable_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All rows, and rows without a value, per column."""
     return per_column(df, cols, {"total": lambda c: F.count("*"), "unreliable": lambda c: F.count_if(F.col(c).isNull())})
@@ -191,7 +194,10 @@ def feature_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def probability_profile(df: DataFrame, col: str, percentiles: Sequence[float] = PROFILE_PERCENTILES) -> DataFrame:
-    """Count, mean, sample deviation, minimum, percentiles and maximum of a score as (statistic, value)."""
+    """Count, mean, sample deviation, minimum, percentiles and maximum of a score as (statistic, value).
+
+    ``df`` is read twice, once for the percentiles, so it should be a stored table.
+    """
     row = df.agg(
         F.count(present(col)).cast("double"), F.avg(present(col)), F.stddev_samp(present(col)),
         F.min(present(col)), F.max(present(col)),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def present(col: str | Column) -> Column:
     """The column as a double, with NaN read as missing."""
@@ -16,145 +17,46 @@ def present(col: str | Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
-@dataclass
-class _Target:
-    """One quantile that is searched for: the values at two neighbouring ranks, counted from 0."""
-
-    col: str
-    share: float
-    size: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = field(init=False)
-    found: dict[int, float] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.inside = self.size
-        position = self.share * (self.size - 1)
-        self.ranks = (math.floor(position), math.ceil(position))
-        self.weight = position - self.ranks[0]
-
-    def bracketed(self) -> Column:
-        """The column's value where it lies in the bracket, else null."""
-        value = present(self.col)
-        return value if self.low is None else F.when((value >= self.low) & (value <= self.high), value)
-
-    def sought(self) -> list[int]:
-        return [r for r in self.ranks if r not in self.found]
-
-    def result(self) -> float:
-        first, second = (self.found[r] for r in self.ranks)
-        return (1 - self.weight) * first + self.weight * second
-
-
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probabilities: Sequence[float],
-    *,
-    small: int = 1_000_000,
-    candidates: int = 50_000,
-    accuracy: int = 10_000,
-) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
     """Quantiles per column, interpolated between neighbouring values; nulls and NaN are left out.
 
-    The built-in exact ``percentile`` keeps one counter per distinct value, so it serves
-    the columns that together have at most ``small`` distinct values. For the others its
-    buffer would grow with the data. There each quantile is first bracketed with
-    mergeable approximate percentiles, pass by pass, until at most ``candidates`` rows
-    lie in the bracket or it holds a single value. Only those rows are counted by value
-    and ranked. The driver sees a few numbers per column and pass.
+    One pass over ``df`` counts rows by column and value, which map-side aggregation begins.
+    The distinct values are dealt out in ranges and written; totals of the ranges, one row
+    for each range and column, give where a range begins, and running totals within a range
+    give the rank of each value. So tasks hold one range each, however many values or rows a
+    column has, and the driver sees two values per quantile.
     """
     cols, probabilities = list(cols), [float(p) for p in probabilities]
-    pairs = df.select(F.posexplode(F.array(*[present(c) for c in cols])).alias("place", "value"))
-    counts = pairs.groupBy("place").agg(F.count("value"), F.approx_count_distinct("value")).collect()
-    sizes = {place: n for place, n, _ in counts if n}
-    direct, total = [], 0
-    for place, _, distinct in sorted(counts, key=lambda row: row[2]):
-        total += distinct
-        if place in sizes and total <= small:
-            direct.append(place)
-
-    found: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in cols}
-    if direct:
-        wanted = F.array(*[F.lit(p) for p in probabilities])
-        row = df.agg(*[F.percentile(present(cols[i]), wanted).alias(f"q{i}") for i in direct]).first()
-        found |= {cols[i]: list(row[f"q{i}"]) for i in direct}
-
-    targets = {
-        i: [_Target(cols[i], p, n) for p in probabilities] for i, n in sizes.items() if i not in direct
-    }
-    every = [t for group in targets.values() for t in group]
-    _narrow(df, every, candidates, accuracy)
-    _settle(df, every)
-    return found | {cols[i]: [t.result() for t in group] for i, group in targets.items()}
-
-
-def _narrow(df: DataFrame, targets: list[_Target], candidates: int, accuracy: int) -> None:
-    """Tighten brackets until few rows are left in them.
-
-    The guessed ends of a bracket may be values that many rows share. They either are
-    the value sought or fall out of the bracket, so what is left of it always shrinks.
-    """
-    margin = 2.0 / accuracy
-    wide = [t for t in targets if t.inside > candidates]
-    while wide:
-        guesses = []
-        for i, t in enumerate(wide):
-            shares = [(r - t.below + 0.5) / t.inside for r in t.sought()]
-            ends = [max(0.0, shares[0] - margin), min(1.0, shares[-1] + margin)]
-            guesses.append(F.percentile_approx(t.bracketed(), ends, accuracy).alias(f"g{i}"))
-        bounds = df.agg(*guesses).first()
-
-        checks = []
-        for i, t in enumerate(wide):
-            value, (low, high) = present(t.col), bounds[i]
-            checks.append(F.count_if(value < low).alias(f"below{i}"))
-            checks.append(F.count_if(value == low).alias(f"low{i}"))
-            checks.append(F.count_if(value < high).alias(f"upto{i}"))
-            checks.append(F.count_if(value == high).alias(f"high{i}"))
-        counts = df.agg(*checks).first()
-
-        again = []
-        for i, t in enumerate(wide):
-            low, high = bounds[i]
-            below, upto = counts[f"below{i}"], counts[f"upto{i}"]
-            inner = below + counts[f"low{i}"]
-            for r in t.sought():
-                if below <= r < inner:
-                    t.found[r] = low
-                elif upto <= r < upto + counts[f"high{i}"]:
-                    t.found[r] = high
-            left = t.sought()
-            if left and inner <= left[0] and left[-1] < upto:
-                shrunk = upto - inner < t.inside
-                t.low, t.high = math.nextafter(low, math.inf), math.nextafter(high, -math.inf)
-                t.below, t.inside = inner, upto - inner
-                if shrunk and t.inside > candidates:
-                    again.append(t)
-        wide = again
-
-
-def _settle(df: DataFrame, targets: list[_Target]) -> None:
-    """Count the bracketed values and read the wanted ranks off the running counts."""
-    open_targets = [t for t in targets if t.sought()]
-    if not open_targets:
-        return
-    cells = [F.struct(F.lit(i).alias("id"), t.bracketed().alias("value")) for i, t in enumerate(open_targets)]
-    first = F.array(*[F.lit(t.sought()[0] - t.below) for t in open_targets])[F.col("id")]
-    second = F.array(*[F.lit(t.sought()[-1] - t.below) for t in open_targets])[F.col("id")]
-    upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    hits = (
-        df.select(F.explode(F.filter(F.array(*cells), lambda cell: cell["value"].isNotNull())).alias("cell"))
-        .groupBy("cell.id", "cell.value")
-        .count()
-        .withColumn("through", F.sum("count").over(upto))
-        .filter((F.col("through") > first) & (F.col("through") - F.col("count") <= second))
-        .select("id", "value", "count", "through")
-    )
-    for id_, value, count, through in hits.collect():
-        t = open_targets[id_]
-        for r in t.ranks:
-            if r not in t.found and through - count <= r - t.below < through:
-                t.found[r] = value
+    pairs = df.select(F.posexplode(F.array(*[present(c) for c in cols])).alias("place", "value")).filter("value IS NOT NULL")
+    # Both zeros are one value.
+    counts = pairs.groupBy("place", (F.col("value") + F.lit(0.0)).alias("value")).agg(F.count("*").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(parts, "place", "value").withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "value_counts")
+
+    earlier = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("place", "part").agg(F.sum("n").alias("in_part"))
+    totals = totals.withColumn("before", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)))
+    sizes = {r[0]: r[1] for r in totals.groupBy("place").agg(F.sum("in_part")).collect()}
+    if not sizes:
+        return {c: [None] * len(probabilities) for c in cols}
+
+    positions = {place: [p * (n - 1) for p in probabilities] for place, n in sizes.items()}
+    ranks = {place: sorted({f(x) for x in found for f in (math.floor, math.ceil)}) for place, found in positions.items()}
+    # A few ranks for each column, as a map from the column's place.
+    wanted = F.create_map(*[x for place, found in ranks.items() for x in (F.lit(place), F.array(*[F.lit(r) for r in found]))])
+    upto = Window.partitionBy("place", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    through = ranged.withColumn("within", F.sum("n").over(upto)).join(totals, ["place", "part"])
+    through = through.select("place", "value", "n", (F.col("within") + F.col("before")).alias("through"))
+    here = F.filter(wanted[F.col("place")], lambda r: (r < F.col("through")) & (r >= F.col("through") - F.col("n")))
+    hits = through.select("place", "value", F.explode(here).alias("rank")).collect()
+    at = {(place, rank): value for place, value, rank in hits}
+
+    result: dict[str, list[float | None]] = {}
+    for place, c in enumerate(cols):
+        result[c] = [None] * len(probabilities)
+        for k, x in enumerate(positions.get(place, [])):
+            low, high = at[place, math.floor(x)], at[place, math.ceil(x)]
+            weight = x - math.floor(x)
+            result[c][k] = (1 - weight) * low + weight * high
+    return result

@@ -7,6 +7,7 @@ one-row results only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -14,13 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..contract import FLIGHTS_2024, MODEL_FEATURES_V2, SOURCE_SCHEMA, Preset, check_contract
 from ..operators import evaluate, models, report, silver, split
-from ..operators.history import CONTEXT_ENTITIES, DAY_ENTITIES, grain_density
-from ..sources import read_between, read_table, save_json, table_path, write_table
+from ..session import materialize
+from ..sources import read_between, read_table, save_json, write_catalog_table, write_table
 from . import features
 
-# Trips per combination of keys and minute from which histories go through the distinct combinations.
-DENSE_FROM = 4.0
-
 DASHBOARDS = ("airline_analysis", "route_analysis", "hour_analysis", "risk_analysis", "daily_analysis", "model_kpis")
 
 
@@ -35,13 +33,15 @@ def build_silver(spark: SparkSession, base: str, preset: Preset) -> DataFrame:
     return read_table(spark, base, "silver")
 
 
-def build_features(spark: SparkSession, base: str, preset: Preset) -> DataFrame:
-    """Store both feature tables by month; the second starts from the first."""
+def build_features(spark: SparkSession, base: str, preset: Preset, dense: bool = False) -> DataFrame:
+    """Store both feature tables by month; the second starts from the first.
+
+    ``dense`` is the plan for many trips per minute and keys; see ``history.attach_history``.
+    """
     done = silver.completed(read_table(spark, base, "silver"))
-    first = features.features_v1(done, preset.reliable_min, dense=grain_density(done, DAY_ENTITIES) >= DENSE_FROM)
+    first = features.features_v1(done, preset.reliable_min, dense=dense)
     write_table(first, base, "features_v1", month_of="fl_date")
     stored = read_table(spark, base, "features_v1")
-    dense = grain_density(stored, CONTEXT_ENTITIES) >= DENSE_FROM
     write_table(features.extend_v1(stored, preset.reliable_min, dense=dense), base, "features_v2", month_of="fl_date")
     return read_table(spark, base, "features_v2")
 
@@ -52,9 +52,9 @@ def train(
     """Fit on all training trips, or on a sample of about ``sample_rows``, and save the model."""
     table = read_between(spark, base, "features_v2", until=preset.train_end)
     if sample_rows is not None:
-        table = split.bernoulli(table, n=sample_rows)
-    settings = {**models.FOREST_FINAL, **params} if kind == "forest" else params
-    model = models.fit(table, MODEL_FEATURES_V2, kind, **settings)
+        # Stored, so that every pass of the fit sees the same sample.
+        table = materialize(split.bernoulli(table, n=sample_rows), "sample")
+    model = models.fit(table, MODEL_FEATURES_V2, kind, **{**models.FINAL[kind], **params})
     models.save(model, f"{base}/model")
     save_json(spark, MODEL_FEATURES_V2, f"{base}/feature_columns.json")
     return model
@@ -78,8 +78,10 @@ def predict(spark: SparkSession, base: str, preset: Preset) -> DataFrame:
     return stored
 
 
-def write_reports(spark: SparkSession, base: str, preset: Preset) -> list[str]:
-    """Store the tables that dashboards read."""
+def write_reports(
+    spark: SparkSession, base: str, preset: Preset, table_name: Callable[[str], str] | None = None
+) -> list[str]:
+    """Store the tables that dashboards read, in the catalog too if ``table_name`` names them there."""
     scored = read_table(spark, base, "predictions")
     tables = {
         "airline_analysis": report.airline_risk(scored),
@@ -89,16 +91,27 @@ def write_reports(spark: SparkSession, base: str, preset: Preset) -> list[str]:
         "daily_analysis": report.daily_trend(scored),
         "model_kpis": report.model_kpis(scored),
     }
-    return [write_table(table, base, name) for name, table in tables.items()]
+    paths = [write_table(table, base, name) for name, table in tables.items()]
+    if table_name is not None:
+        for name in tables:
+            write_catalog_table(read_table(spark, base, name), table_name(name))
+    return paths
 
 
 def run(
-    spark: SparkSession, source: DataFrame, base: str, preset: Preset = FLIGHTS_2024, **model_params: Any
+    spark: SparkSession,
+    source: DataFrame,
+    base: str,
+    preset: Preset = FLIGHTS_2024,
+    *,
+    dense: bool = False,
+    table_name: Callable[[str], str] | None = None,
+    **model_params: Any,
 ) -> list[str]:
     """All stages in order; returns the paths of the report tables."""
     build_bronze(spark, source, base)
     build_silver(spark, base, preset)
-    build_features(spark, base, preset)
+    build_features(spark, base, preset, dense)
     train(spark, base, preset, **model_params)
     predict(spark, base, preset)
-    return write_reports(spark, base, preset)
+    return write_reports(spark, base, preset, table_name)

@@ -72,8 +72,8 @@ def test_catalog_tables(spark, tmp_path):
     drop_table(spark, name)
     assert not table_exists(spark, name)
     frame = rows_frame(spark, [("a", 1.0)], "metric string, value double")
-    frame.write.mode("overwrite").option("path", str(tmp_path / "t")).format("parquet").saveAsTable(name)
-    assert table_exists(spark, name)
+    write_catalog_table(frame, name)
+    assert table_exists(spark, name) and spark.table(name).collect() == frame.collect()
     drop_table(spark, name)
     assert not table_exists(spark, name)
 
@@ -92,7 +92,11 @@ def test_shared_folder_is_the_configured_one(spark):
 
 def test_whole_chain(spark, sf, tmp_path):
     base = str(tmp_path)
-    paths = medallion.run(spark, trips(spark, sf), base, TEST_TABLES, **SMALL)
+    names = "tardygrade_{}_test".format
+    paths = medallion.run(spark, trips(spark, sf), base, TEST_TABLES, table_name=names, **SMALL)
+    for name in medallion.DASHBOARDS:
+        assert spark.table(names(name)).exceptAll(read_table(spark, base, name)).count() == 0
+        drop_table(spark, names(name))
     assert [p.rsplit("/", 1)[1] for p in paths] == [f"{name}.parquet" for name in medallion.DASHBOARDS]
     scored = read_table(spark, base, "predictions")
     assert scored.columns == PREDICTIONS

@@ -149,6 +149,46 @@ def test_two_hops_equal_one(done):
     assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
 
 
+@pytest.fixture(scope="module")
+def odd_times(spark, sf):
+    """Completed trips, some without a date or departure time, or with times that do not exist."""
+    from tardygrade.operators import silver
+    from tardygrade.session import materialize
+    from tardygrade.sources import trips
+
+    kind = F.col("distance") % 13
+    time = F.when(kind == 0, F.lit(None)).when(kind == 1, -1).when(kind == 2, 2360).otherwise(F.col("crs_dep_time"))
+    changed = trips(spark, sf).withColumn("crs_dep_time", time.cast("int"))
+    changed = changed.withColumn("day_of_week", F.when(kind == 3, F.lit(None)).otherwise(F.col("day_of_week")))
+    changed = changed.withColumn("fl_date", F.when(kind == 4, F.lit(None)).otherwise(F.col("fl_date")))
+    return materialize(silver.completed(silver.silver(changed)), "odd_times")
+
+
+def test_two_hops_equal_one_for_odd_times(odd_times):
+    one = features.features_v2(odd_times)
+    two = features.extend_v1(features.features_v1(odd_times))
+    assert one.count() == odd_times.count()
+    assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+
+
+def test_missing_and_invalid_times(spark):
+    """A trip never counts for another of the same or an earlier day because of its time."""
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(5)]
+    times = [(8, 0), (0, -1), (8, 0), (None, None), (23, 60)]
+    df = trips_of(spark, [(d, h, m, "A", 1) for d, (h, m) in zip(days, times)])
+    both = Entity("origin", "origin", 7, ORIGIN_HOUR.contexts)
+    table = history.attach_history(df, [both]).orderBy("fl_date")
+    got = [tuple(r) for r in table.select("historical_origin_flights", "historical_origin_hour_flights").collect()]
+    assert got == [(None, 0), (1, 0), (2, 1), (3, 0), (4, 0)]
+
+    alone = trips_of(spark, [(days[0], 8, 0, "A", 1)]).union(
+        spark.createDataFrame([(None, 8, 0, 1, "A", 1)], SCHEMA)
+    )
+    rows = {r["fl_date"]: r for r in history.attach_history(alone, [both]).collect()}
+    assert rows[days[0]]["historical_origin_flights"] is None and rows[days[0]]["historical_origin_hour_flights"] == 0
+    assert rows[None]["historical_origin_flights"] is None and rows[None]["historical_origin_hour_flights"] == 0
+
+
 def test_key_filter_reaches_the_scan(done):
     table = history.history_for_key(done, ORIGIN_HOUR, {"origin": "NATION_12", "scheduled_dep_hour": 12})
     full = history.attach_history(done, [ORIGIN_HOUR]).filter("origin = 'NATION_12' AND scheduled_dep_hour = 12")

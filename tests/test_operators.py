@@ -92,8 +92,8 @@ def test_percentages_within_groups(spark):
 
 
 @pytest.mark.parametrize("shape", ["uniform", "ties", "few", "heavy", "constant", "hot"])
-def test_quantiles_narrowed_to_the_exact_value(spark, shape):
-    """The bracketing path, forced by tiny limits, against NumPy."""
+def test_quantiles_are_exact(spark, shape):
+    """Ranks over value ranges against NumPy."""
     rng = np.random.default_rng(5)
     values = {
         "uniform": rng.random(20_000),
@@ -107,15 +107,24 @@ def test_quantiles_narrowed_to_the_exact_value(spark, shape):
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "x double")
     probabilities = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    got = exact_quantiles(df, ["x"], probabilities, small=0, candidates=50, accuracy=200)["x"]
+    got = exact_quantiles(df, ["x"], probabilities)["x"]
     assert got == pytest.approx(np.quantile(values, probabilities), rel=1e-12)
-    assert exact_quantiles(df, ["x"], probabilities)["x"] == pytest.approx(got, rel=1e-12)
+
+
+def test_quantiles_of_many_values_are_spread(spark):
+    """A million distinct values: no range of values holds much more than its share."""
+    df = spark.range(0, 1_000_000, 1, 16).select(F.sin("id").alias("x"), (F.col("id") % 7).alias("y"))
+    got = exact_quantiles(df, ["x", "y"], [0.5, 0.99])
+    assert got["x"] == pytest.approx(np.quantile(np.sin(np.arange(1_000_000)), [0.5, 0.99]), rel=1e-9)
+    assert got["y"] == [3.0, 6.0]
+    counts = df.groupBy("x").count().repartitionByRange(8, "x").groupBy(F.spark_partition_id()).count()
+    assert counts.agg(F.max("count")).first()[0] < 3 * 1_000_000 / 8
 
 
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0)], "x double, y double")
-    for small in (0, 100):
-        assert exact_quantiles(df, ["x", "y"], [0.5], small=small) == {"x": [None], "y": [1.0]}
+    assert exact_quantiles(df, ["x", "y"], [0.5]) == {"x": [None], "y": [1.0]}
+    assert exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]}
 
 
 # Splits and preparation -----------------------------------------------------

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tardygrade import catalog
 from tardygrade.catalog.queries import TABLES
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -34,8 +35,9 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {
         "bernoulli_sample", "bernoulli_fraction", "feature_vector", "lr_scores", "rf_scores", "gbt_scores",
-        "score_test", "feature_importance", "model_roundtrip",
+        "score_test", "feature_importance", "model_roundtrip", "lr_v1_scores", "rf_v1_scores", "gbt_v1_scores",
     }
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
