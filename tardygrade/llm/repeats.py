@@ -311,7 +311,7 @@ def _windows(text: str, groups: int, s: Settings):
                 again.append(k)
         kept, again = np.array(kept, np.int64), np.array(again, np.int64)
         dealt = salt[kept] if len(kept) else np.empty(0, np.int32)
-        salted = (row["slice"] * 0x9E3779B1 >> 7) % np.maximum(dealt, 1)
+        salted = (row["slice"] * 0x9E3779B1 >> 7) % np.maximum(dealt, 1).astype(np.int64)
         begin = first - ends[doc]
         whole = np.flatnonzero(is_copy & (np.diff(ends) >= s.length))
 
