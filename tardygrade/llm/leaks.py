@@ -212,7 +212,7 @@ def latent_space(tokens: DataFrame, s: Settings = Settings()) -> LatentSpace:
 
     value, vector = np.linalg.eigh(_added_up(tokens, (width, width), gram, s))
     order = np.argsort(-value)[: s.dimensions]
-    scale = 1 / np.sqrt(np.maximum(value[order], 1e-9 * max(value.max(initial=0), 1e-300)))
+    scale = 1 / np.sqrt(np.maximum(value[order], max(1e-9 * value.max(), 1e-12)))
     return LatentSpace((turned @ (vector[:, order] * scale)).astype(np.float32), s)
 
 

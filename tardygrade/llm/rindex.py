@@ -54,7 +54,8 @@ def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _moved(values: np.ndarray, by: int) -> np.ndarray:
     """Values ``by`` places further on; beyond the end all are the largest."""
     out = np.full(len(values), values[-1])
-    out[: len(values) - by] = values[by:]
+    if by < len(values):
+        out[: len(values) - by] = values[by:]
     return out
 
 

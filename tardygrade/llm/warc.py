@@ -167,6 +167,20 @@ class _Bytes:
             self.data += more
         return True
 
+    def find(self, sought: bytes, place: int, stop: int) -> int | None:
+        """The first place in ``[place, stop)`` where ``sought`` begins."""
+        while place < stop:
+            self.drop(place)
+            k = self.data.find(sought)
+            if k >= 0:
+                return self.base + k if self.base + k < stop else None
+            # Its beginning may be at hand already.
+            end = self.base + len(self.data)
+            place = max(place, end - len(sought) + 1)
+            if not self.upto(end + 1):
+                return None
+        return None
+
     def drop(self, place: int) -> None:
         """Forget what lies before ``place``."""
         self.data = self.data[place - self.base :]
@@ -176,27 +190,12 @@ class _Bytes:
 def members(path: str, start: int, stop: int, s: Settings = Settings()) -> Iterator[bytes]:
     """The records whose gzip member begins in ``[start, stop)``."""
     source = _Bytes(path, start, s.chunk_bytes)
-    at = start
-    while at < stop:
-        source.drop(at)
-        if not source.upto(at + len(MAGIC)):
-            return
-        k = source.data.find(MAGIC)
-        while k < 0:
-            # Keep what may be the beginning of a magic.
-            source.drop(max(at, source.base + len(source.data) - len(MAGIC) + 1))
-            if source.base >= stop or not source.upto(source.base + s.chunk_bytes) and len(source.data) < len(MAGIC):
-                return
-            k = source.data.find(MAGIC)
-            if k < 0 and not source.upto(source.base + len(source.data) + 1):
-                return
-        at = source.base + k
-        if at >= stop:
-            return
+    at = source.find(MAGIC, start, stop)
+    while at is not None:
         raw, size = _decoded(source, at, s)
         if raw is not None and raw.startswith(VERSION):
             yield raw
-        at += size if raw is not None else 1
+        at = source.find(MAGIC, at + (1 if raw is None else size), stop)
 
 
 def _decoded(source: _Bytes, at: int, s: Settings) -> tuple[bytes | None, int]:
