@@ -311,9 +311,12 @@ def oracle_sql() -> dict[str, str]:
     key_columns = f"{DAY}, op_unique_carrier, route, scheduled_dep_hour, is_delayed"
     preview = f"{DAY}, op_unique_carrier, origin, dest, crs_dep_time, scheduled_dep_hour, scheduled_dep_minute, flight_status, arr_delay, is_delayed"
     gapped = MODEL_FEATURES_V2
-    medians = ", ".join(f"(SELECT quantile_cont({c}, 0.5) FROM v2 WHERE fl_date < DATE '{P.train_end}') AS m_{c}" for c in gapped)
-    imputed = f"SELECT fl_date, route, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in gapped)} FROM v2, (SELECT {medians})"
-    scales = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in gapped)
+    # The feature table rounds places on the circle; inputs are prepared before rounding.
+    exact = {f"{n}_{f}": f"{f}(2 * pi() * {c} / {k})" for n, c, k in (("dep_hour", "scheduled_dep_hour", 24), ("month", "month", 12)) for f in ("sin", "cos")}
+    value = {c: exact.get(c, c) for c in gapped}
+    medians = ", ".join(f"(SELECT coalesce(quantile_cont({value[c]}, 0.5), 0) FROM v2 WHERE fl_date < DATE '{P.train_end}') AS m_{c}" for c in gapped)
+    imputed = f"SELECT fl_date, route, {', '.join(f'coalesce({value[c]}, m_{c}) AS {c}' for c in gapped)} FROM v2, (SELECT {medians})"
+    scales = ", ".join(f"avg({c}) AS a_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in gapped)
     train = f"fl_date < DATE '{P.train_end}'"
     quality_p, quality_r, quality_f = _quality_sql("tp", "fp", "fn")
     validation = f"(SELECT CAST(count(*) FILTER (WHERE is_delayed = 0) AS DOUBLE) / count(is_delayed) AS accuracy FROM parts WHERE part = 'validation')"
