@@ -57,7 +57,7 @@ class Settings:
 # Shingles and MinHash ---------------------------------------------------------
 
 _WORD_HASHES: dict[bytes, int] = {}
-_WORD_MEMORY = 1 << 19
+_WORD_MEMORY = 1 << 18
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:

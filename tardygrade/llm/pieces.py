@@ -39,7 +39,7 @@ class PieceTable:
     ``memory`` bounds the encoded words, and the tested pairs, that a task remembers.
     """
 
-    def __init__(self, model_path: str, memory: int = 1 << 20):
+    def __init__(self, model_path: str, memory: int = 3 << 18):
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         ids = range(model.get_piece_size())
         special = {i for i in ids if model.is_control(i) or model.is_unknown(i)}
