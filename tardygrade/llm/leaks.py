@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,50 +33,69 @@ from .common import int_lists, materialize, pieces, texts
 class Settings:
     """A passage is ``blocks`` blocks of ``block`` words and starts at every block.
 
+    The first ``common`` directions tell languages apart rather than passages and are left out.
     ``items`` bounds the benchmark items that are searched for, and broadcast, at a time.
     """
 
-    block: int = 8
-    blocks: int = 3
+    block: int = 12
+    blocks: int = 2
     terms: int = 1 << 13
-    dimensions: int = 64
-    oversampling: int = 16
-    least_cosine: float = 0.55
+    dimensions: int = 88
+    common: int = 8
+    oversampling: int = 8
+    least_cosine: float = 0.5
     least_common: float = 0.6
     least_answer: float = 0.5
     items: int = 20_000
     seed: int = 11
 
 
-EDGE = ".,;:!?\"'()[]{}*%$&#|<>-–—_"
+SIGNS = b".,;:!?\"'()[]{}*%$&#|<>-_"
 
 # Words ------------------------------------------------------------------------
 
-_KNOWN: dict[bytes, int] = {}
-_MEMORY = 1 << 19
+# White space as blanks.
+_WHITE = b" \t\n\x0b\x0c\r"
+_SPACED = bytes(32 if i in _WHITE else i for i in range(256))
+_RANDOM = np.random.default_rng(77).integers(0, 1 << 64, (2, 1024), np.uint64) | np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def hashed_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the words of some texts, one after the other, and their number in each text.
+
+    Words are compared without case and without ``SIGNS``, wherever they stand;
+    bare signs are no words. A word's hash is a sum over its bytes, each weighted by its
+    place in the word, so all words are hashed at once.
+    """
+    parts = [line.lower().encode().translate(_SPACED, SIGNS) for line in lines]
+    raw = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    inside = raw != 32
+    start = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
+    if not len(start):
+        return np.empty(0, np.int32), np.zeros(len(lines), np.int64)
+    at = np.flatnonzero(inside)
+    first = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+    value = _RANDOM[0, raw[at]] * _RANDOM[1, place & 1023]
+    hashes = (_mixed(np.add.reduceat(value, first)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    ends = np.cumsum([len(part) + 1 for part in parts])
+    return hashes, np.diff(np.r_[0, np.searchsorted(start, ends)])
 
 
 def word_hashes(text: str) -> list[int]:
-    """32-bit hashes of the words without case and surrounding signs; bare signs are no words."""
-    words, known = text.encode().split(), _KNOWN
-    found = [known.get(w) for w in words]
-    if None in found:
-        if len(known) > _MEMORY:
-            known.clear()
-        for k, value in enumerate(found):
-            if value is None:
-                plain = words[k].decode(errors="replace").strip(EDGE).lower()
-                value = (xxhash.xxh32_intdigest(plain) - (1 << 31)) if plain else 0
-                known[words[k]] = found[k] = value
-    return [value for value in found if value]
+    return hashed_words([text])[0].tolist()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole):
-            lists = [word_hashes(text) for text in texts(batch.column(1))]
-            flat = np.array([w for words in lists for w in words], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), int_lists(flat, map(len, lists))], names=["doc_id", "words"])
+            hashes, sizes = hashed_words(texts(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), int_lists(hashes, sizes)], names=["doc_id", "words"])
 
 
 # Passages ---------------------------------------------------------------------
@@ -163,12 +181,13 @@ def _added_up(tokens: DataFrame, shape: tuple[int, int], share, s: Settings) ->
         columns = [
             pa.array([r // _PART for r in rows], pa.int32()),
             pa.array([salt] * len(rows), pa.int32()),
-            pa.array([total[r : r + _PART].tobytes() for r in rows], pa.binary()),
+            pa.array([total[r : r + _PART].astype(np.float32).tobytes() for r in rows], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["part", "salt", "matrix"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.float64) for b in group.column("matrix").to_pylist())
+        total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in group.column("matrix").to_pylist())
+        total = total.astype(np.float32)
         columns = [group.column("part").slice(0, 1), group.column("salt").slice(0, 1), pa.array([total.tobytes()], pa.binary())]
         return pa.Table.from_arrays(columns, names=["part", "salt", "matrix"])
 
@@ -178,7 +197,7 @@ def _added_up(tokens: DataFrame, shape: tuple[int, int], share, s: Settings) ->
     parts = sorted((r["part"], r["matrix"]) for r in sums.collect())
     if not parts:
         return np.zeros(shape)
-    return np.concatenate([np.frombuffer(m, np.float64) for _, m in parts]).reshape(shape)
+    return np.concatenate([np.frombuffer(m, np.float32) for _, m in parts]).reshape(shape).astype(np.float64)
 
 
 @dataclass
@@ -199,21 +218,20 @@ def latent_space(tokens: DataFrame, s: Settings = Settings()) -> LatentSpace:
     share = np.minimum((counts + 1) / (counts.sum() + s.terms), 0.999)
     idf = (-np.log(1 - (1 - share) ** (s.block * s.blocks)))[:, None]
 
+    # One pass gives the image of a random sketch under the Gram matrix; its leading
+    # directions and their strength follow from sketch and image alone (Nystroem).
     width = s.dimensions + s.oversampling
-    sketch = np.random.default_rng(s.seed).normal(size=(s.terms, width))
+    sketch = np.linalg.qr(np.random.default_rng(s.seed).normal(size=(s.terms, width)))[0]
     start = (idf * sketch).astype(np.float32)
     image = idf * _added_up(tokens, (s.terms, width), lambda p: p.spread(p.sums(start)), s)
-    basis = np.linalg.qr(image)[0]
-    turned = (idf * basis).astype(np.float32)
-
-    def gram(p: Passages) -> np.ndarray:
-        rows = p.sums(turned)
-        return (rows.T @ rows).astype(np.float64)
-
-    value, vector = np.linalg.eigh(_added_up(tokens, (width, width), gram, s))
-    order = np.argsort(-value)[: s.dimensions]
-    scale = 1 / np.sqrt(np.maximum(value[order], max(1e-9 * value.max(), 1e-12)))
-    return LatentSpace((turned @ (vector[:, order] * scale)).astype(np.float32), s)
+    shift = 1e-6 * np.linalg.norm(image) + 1e-12
+    image += shift * sketch
+    core = sketch.T @ image
+    root = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / width * np.eye(width))
+    direction, strength, _ = np.linalg.svd(np.linalg.solve(root, image.T).T, full_matrices=False)
+    own = slice(s.common, s.dimensions)
+    strength = np.maximum(strength[own], 1e-6 * strength[0])
+    return LatentSpace((idf * direction[:, own] / strength).astype(np.float32), s)
 
 
 # Checks on words --------------------------------------------------------------
@@ -302,6 +320,9 @@ def _checked(words: np.ndarray, items: Items, item: int, found: list[tuple[float
             continue
         done.add((low, high))
         region = words[low:high].tolist()
+        there = set(region)
+        if sum(w in there for w in sought) < s.least_common * len(sought):
+            continue  # more words than these cannot be in common
         common = common_words(sought, region) / len(sought)
         if common >= s.least_common and (best is None or common > best[1]):
             share = common_words(answer, region) / len(answer)
