@@ -50,9 +50,9 @@ class Settings:
     """``gram`` bytes make an anchor; ``slice_bytes`` and ``block_bytes`` bound the memory of tasks."""
 
     length: int = LENGTH
-    gram: int = 24
+    gram: int = 48
     slice_bytes: int = 6 << 20
-    block_bytes: int = 3 << 19
+    block_bytes: int = 2 << 20
     hot_slices: int = 256
 
 
@@ -393,10 +393,14 @@ def _match(s: Settings):
             else:
                 first[window] = k
                 order.append(k)
-        if len(order) < 2 and (not order or size[order[0]] <= s.length):
-            later = [np.empty(0, np.int64) for _ in order]
-        else:
-            later = later_occurrences(list(first), s.length)
+        # Strings are equal only under one anchor, and a window has no string twice. So what
+        # is alone under its anchor repeats nothing, and only the others are indexed.
+        own = flat["anchors"][order]
+        anchors, count = np.unique(own, return_counts=True)
+        shared = (count > 1)[np.searchsorted(anchors, own)].tolist()
+        found = later_occurrences([w for w, yes in zip(first, shared) if yes], s.length) if any(shared) else []
+        parts = iter(found)
+        later = [next(parts) if yes else np.empty(0, np.int64) for yes in shared]
         for k, window, offsets in zip(order, first, later):
             if len(offsets):
                 cut = np.flatnonzero(np.diff(offsets) > 1)
