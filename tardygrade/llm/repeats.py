@@ -201,6 +201,12 @@ def _group_of(anchor: np.ndarray, groups: int) -> np.ndarray:
     return ((anchor.view(np.uint64) >> np.uint64(20)) % np.uint64(groups)).astype(np.int32)
 
 
+def _salt_of(number: int, salts: np.ndarray) -> np.ndarray:
+    """The salt under which slice ``number`` sends each of its anchors; any long is a valid number."""
+    hashed = xxhash.xxh64_intdigest(number.to_bytes(8, "little")) >> 1
+    return hashed % np.maximum(salts, 1).astype(np.int64)
+
+
 def _split_by(group: np.ndarray) -> list[np.ndarray]:
     """Positions of each value of ``group``."""
     order = np.argsort(group, kind="stable")
@@ -311,7 +317,7 @@ def _windows(text: str, groups: int, s: Settings):
                 again.append(k)
         kept, again = np.array(kept, np.int64), np.array(again, np.int64)
         dealt = salt[kept] if len(kept) else np.empty(0, np.int32)
-        salted = (row["slice"] * 0x9E3779B1 >> 7) % np.maximum(dealt, 1).astype(np.int64)
+        salted = _salt_of(row["slice"], dealt)
         begin = first - ends[doc]
         whole = np.flatnonzero(is_copy & (np.diff(ends) >= s.length))
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tardygrade.llm import repeats
@@ -61,6 +63,27 @@ def test_equals_brute_force(spark, settings):
         assert got[i] == expected, i
 
 
+def test_more_than_104_partitions(spark):
+    rows = corpus()
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 240), "doc_id long, text string")
+    found = repeats.without_repeats(df, s=repeats.Settings(slice_bytes=1500, hot_slices=2))
+    got = {r["doc_id"]: (r["n_bytes"], [tuple(x) for x in r["spans"]], bytes(r["kept"])) for r in found.collect()}
+    for (i, _), expected in zip(rows, brute(rows)):
+        assert got[i] == expected, i
+
+
+@pytest.mark.parametrize("partition", [0, 103, 104, 5000, (1 << 31) - 1])
+def test_slices_of_any_partition_send_their_windows(partition):
+    s, raw = repeats.Settings(), corpus()[68][1].encode()
+    anchor = np.unique(repeats.windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), s)[3] & ~np.int64(1))
+    blob = repeats._pack(pa.table({"text": [raw.decode()]}))
+    left = pa.table({"slice": [partition << 32], "ids": [[1]], "h1": [[1]], "h2": [[1]], "blob": [blob]})
+    salts = np.full(len(anchor), 3, np.int32)
+    right = pa.table({"copies": [None], "anchors": [anchor.tobytes()], "salts": [salts.tobytes()]})
+    sent = repeats._windows("text", 8, s)(left, right)
+    assert set(sent.column("salt").to_pylist()) < {0, 1, 2} and sum(map(len, sent.column("docs").to_pylist())) >= len(anchor)
+
+
 def test_cut_texts_keep_whole_characters(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
