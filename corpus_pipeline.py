@@ -11,7 +11,8 @@ are allowed; an empty table gives an empty result.
    smallest doc_id; of equal rows one is kept.
 3. ``repeated_strings`` cuts out strings of 100 bytes that stand earlier in the corpus. A
    character that is cut in part stays. All documents are kept, also those left empty.
-4. ``decontamination`` drops documents that contain a benchmark passage.
+4. ``decontamination`` drops rows whose own text contains a benchmark passage; other texts
+   with the same doc_id, or with a null one, stay.
 5. ``encoding`` returns doc_id, lang, source, the token ids with begin and end, their number,
    and the decoded text.
 """
@@ -49,8 +50,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = leaks.leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("own")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("own")), "left_anti").select(*docs.columns)
+    return leaks.without_leaks(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

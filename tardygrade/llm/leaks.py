@@ -9,10 +9,11 @@ all directions scaled alike. Each candidate is then checked on its words: the lo
 subsequence of the item and the surrounding text must hold ``least_common`` of the item, and
 ``least_answer`` of the item's answer, its last sentence.
 
-Results. One row per (document, item) that passes: doc_id, item_id, cosine of the best
-passage, the two shares, and the place of the match in words. Repeated rows of a document
-give one row. Null texts are empty; empty texts and items never match. Rows with a null id
-are searched like others.
+Results. One row per (document, text, item) that passes: doc_id, item_id, cosine of the best
+passage, the two shares, the place of the match in words, and ``h1`` and ``h2``, the 128 bits
+that tell the text from others of the same id or of none. Repeated rows of a document give
+one row. Null texts are empty; empty texts and items never match. Rows with a null id are
+searched like others.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import int_lists, materialize, pieces, texts
+from .common import fresh, int_lists, materialize, pieces, texts
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole):
             hashes, sizes = hashed_words(texts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), int_lists(hashes, sizes)], names=["doc_id", "words"])
+            columns = [batch.column(0), int_lists(hashes, sizes), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "words", "h1", "h2"])
 
 
 # Passages ---------------------------------------------------------------------
@@ -279,7 +281,7 @@ class Items:
         return Items([r[0] for r in rows], words, [answer_of(t) for _, t in rows], owner, space.vectors(passages))
 
 
-HITS = "cosine double, common double, answer double, first_word int, last_word int"
+HITS = "cosine double, common double, answer double, first_word int, last_word int, h1 long, h2 long"
 
 
 def _search(space, items, id_kind: pa.DataType, item_kind: pa.DataType):
@@ -297,14 +299,14 @@ def _search(space, items, id_kind: pa.DataType, item_kind: pa.DataType):
                     key = int(passages.owner[head]), int(own.owner[column])
                     value = float(cosine[row, column])
                     best.setdefault(key, []).append((value, int(passages.word[head])))
-            ids = batch.column(0)
+            ids, h1, h2 = (batch.column(k) for k in (0, 2, 3))
             rows = []
             for (text, item), found in best.items():
                 hit = _checked(words[starts[text] : starts[text] + sizes[text]], own, item, found, s)
                 if hit:
-                    rows.append((ids[text].as_py(), own.ids[item], *hit))
-            kinds = [id_kind, item_kind, *[pa.float64()] * 3, *[pa.int32()] * 2]
-            names = ["doc_id", "item_id", "cosine", "common", "answer", "first_word", "last_word"]
+                    rows.append((ids[text].as_py(), own.ids[item], *hit, h1[text].as_py(), h2[text].as_py()))
+            kinds = [id_kind, item_kind, *[pa.float64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * 2]
+            names = ["doc_id", "item_id", "cosine", "common", "answer", "first_word", "last_word", "h1", "h2"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     return run
@@ -331,13 +333,18 @@ def _checked(words: np.ndarray, items: Items, item: int, found: list[tuple[float
     return best
 
 
+def _identity(text: str) -> list[Column]:
+    """128 bits that tell texts apart."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, item_id, cosine, common, answer, first_word, last_word) of all matches."""
+    """(doc_id, item_id, cosine, common, answer, first_word, last_word, h1, h2) of all matches."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", *_identity("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    tokens = materialize(rows.mapInArrow(_tokens, f"doc_id {id_type}, words array<int>"), "tokens")
-    space = latent_space(tokens, s)
+    tokens = materialize(rows.mapInArrow(_tokens, f"doc_id {id_type}, words array<int>, h1 long, h2 long"), "tokens")
+    space = latent_space(tokens.select("doc_id", "words"), s)
     items = benchmark.select("item_id", "text").filter("text is not null")
     item_type = items.schema["item_id"].dataType.simpleString()
     count = items.count()
@@ -350,4 +357,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
         own = spark.sparkContext.broadcast(Items.of(sorted(map(tuple, chosen.collect()), key=str), space))
         found = tokens.mapInArrow(_search(shared, own, *kinds), f"doc_id {id_type}, item_id {item_type}, {HITS}")
         hits = found if hits is None else hits.unionByName(found)
-    return hits.dropDuplicates(["doc_id", "item_id"])
+    return hits.dropDuplicates(["doc_id", "h1", "h2", "item_id"])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no benchmark item, whatever other rows share their id."""
+    own = [fresh(docs, name) for name in ("leak_id", "leak_h1", "leak_h2")]
+    found = leaks(docs, benchmark, s).select("doc_id", "h1", "h2").distinct().toDF(*own)
+    same = F.col("doc_id").eqNullSafe(F.col(own[0]))
+    for column, name in zip(_identity("text"), own[1:]):
+        same &= column == F.col(name)
+    return docs.join(found, same, "left_anti")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tardygrade.llm import leaks
 
 WORDS = [f"w{chr(97 + k % 26)}{k}" for k in range(3000)]
@@ -62,6 +63,33 @@ def test_items_in_blocks(found):
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {p for p in planted if p[0] is not None and p[0] < 40}
 
 
+def test_rows_that_share_an_id(spark, found):
+    others, bench, _ = found
+    choose = random.Random(4)
+    clean = [" ".join(choose.choices(WORDS, k=80)) for _ in range(2)]
+    item = {r["item_id"]: r["text"] for r in bench.collect()}
+    rows = [(None, clean[0]), (None, clean[0] + " " + item[7]), (None, item[7] + " " + clean[1]), (None, None), (None, "")]
+    rows += [(900, clean[1]), (900, clean[1] + " " + item[9]), (900, clean[1] + " " + item[9])]
+    docs = spark.createDataFrame([(*r, "new") for r in rows], others.schema).unionByName(others.filter("doc_id < 500"))
+    docs = docs.withColumnRenamed("words", "leak_h1")
+    hits = leaks.leaks(docs, bench).filter("doc_id is null or doc_id = 900").collect()
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in hits) == [("900", 9), ("None", 7), ("None", 7)]
+    kept = leaks.without_leaks(docs, bench)
+    assert kept.columns == docs.columns
+    got = kept.filter("leak_h1 = 'new'").select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[0], *rows[3:6]]))
+
+
+def test_stage_keeps_clean_rows_of_a_leaking_id(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = [(None, "a clean text without an id", "en", "s", 1), (None, "intro words here " + bench, "en", "s", 2)]
+    extra += [(9000, "a clean text with an id", "en", "s", 3), (9000, "other words here " + bench, "en", "s", 4)]
+    out = corpus_pipeline.decontamination(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), sf)
+    kept = out.filter("doc_id is null or doc_id = 9000").select("n_chars").collect()
+    assert sorted(r["n_chars"] for r in kept) == [1, 3]
+
+
 def test_empty_tables(found):
     docs, bench, _ = found
     assert leaks.leaks(docs.limit(0), bench).count() == 0
