@@ -34,17 +34,16 @@ from .common import fresh, int_lists, materialize, pieces, texts
 class Settings:
     """A passage is ``blocks`` blocks of ``block`` words and starts at every block.
 
-    The first ``common`` directions tell languages apart rather than passages and are left out.
+    ``least_cosine`` only chooses candidates and is low, as the words decide.
     ``items`` bounds the benchmark items that are searched for, and broadcast, at a time.
     """
 
-    block: int = 12
-    blocks: int = 2
+    block: int = 8
+    blocks: int = 3
     terms: int = 1 << 13
     dimensions: int = 88
-    common: int = 8
     oversampling: int = 8
-    least_cosine: float = 0.5
+    least_cosine: float = 0.3
     least_common: float = 0.6
     least_answer: float = 0.5
     items: int = 20_000
@@ -220,20 +219,26 @@ def latent_space(tokens: DataFrame, s: Settings = Settings()) -> LatentSpace:
     share = np.minimum((counts + 1) / (counts.sum() + s.terms), 0.999)
     idf = (-np.log(1 - (1 - share) ** (s.block * s.blocks)))[:, None]
 
-    # One pass gives the image of a random sketch under the Gram matrix; its leading
-    # directions and their strength follow from sketch and image alone (Nystroem).
+    # One pass gives the image of a random sketch under the Gram matrix, a second one the Gram
+    # matrix of all passages within that image; its eigenvectors are the directions.
     width = s.dimensions + s.oversampling
     sketch = np.linalg.qr(np.random.default_rng(s.seed).normal(size=(s.terms, width)))[0]
     start = (idf * sketch).astype(np.float32)
     image = idf * _added_up(tokens, (s.terms, width), lambda p: p.spread(p.sums(start)), s)
-    shift = 1e-6 * np.linalg.norm(image) + 1e-12
-    image += shift * sketch
-    core = sketch.T @ image
-    root = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / width * np.eye(width))
-    direction, strength, _ = np.linalg.svd(np.linalg.solve(root, image.T).T, full_matrices=False)
-    own = slice(s.common, s.dimensions)
-    strength = np.maximum(strength[own], 1e-6 * strength[0])
-    return LatentSpace((idf * direction[:, own] / strength).astype(np.float32), s)
+    basis = np.linalg.qr(image)[0]
+    turned = (idf * basis).astype(np.float32)
+
+    def gram(p: Passages) -> np.ndarray:
+        rows = p.sums(turned)
+        return (rows.T @ rows).astype(np.float64)
+
+    value, vector = np.linalg.eigh(_added_up(tokens, (width, width), gram, s))
+    # With about as many directions as passages, all passages would be at right angles, so a
+    # small corpus has fewer directions; those that no passage has count nothing.
+    order = np.argsort(-value)[: max(1, min(s.dimensions, int(counts.sum()) // (8 * s.block)))]
+    there = value[order] > max(1e-6 * value.max(), 1e-12)
+    scale = np.where(there, 1 / np.sqrt(np.where(there, value[order], 1)), 0)
+    return LatentSpace((idf * (basis @ (vector[:, order] * scale))).astype(np.float32), s)
 
 
 # Checks on words --------------------------------------------------------------
@@ -294,11 +299,11 @@ def _search(space, items, id_kind: pa.DataType, item_kind: pa.DataType):
             vectors = latent.vectors(passages)
             for k in range(0, len(vectors), 4096):
                 cosine = vectors[k : k + 4096] @ targets
-                for row, column in zip(*np.nonzero(cosine >= s.least_cosine)):
-                    head = passages.heads[k + row]
-                    key = int(passages.owner[head]), int(own.owner[column])
-                    value = float(cosine[row, column])
-                    best.setdefault(key, []).append((value, int(passages.word[head])))
+                row, column = np.nonzero(cosine >= s.least_cosine)
+                head = passages.heads[k + row]
+                found = (passages.owner[head], own.owner[column], cosine[row, column], passages.word[head])
+                for text, item, value, place in zip(*(x.tolist() for x in found)):
+                    best.setdefault((text, item), []).append((value, place))
             ids, h1, h2 = (batch.column(k) for k in (0, 2, 3))
             rows = []
             for (text, item), found in best.items():
@@ -315,6 +320,7 @@ def _search(space, items, id_kind: pa.DataType, item_kind: pa.DataType):
 def _checked(words: np.ndarray, items: Items, item: int, found: list[tuple[float, int]], s: Settings) -> tuple | None:
     """The best of an item's candidate places in a text that passes both checks."""
     sought, answer = items.words[item], items.answers[item]
+    least = s.least_common * len(sought)
     width, done, best = len(sought) + s.block, set(), None
     for cosine, place in sorted(found, reverse=True):
         low, high = max(0, place - width), min(len(words), place + s.block * s.blocks + width)
@@ -322,15 +328,17 @@ def _checked(words: np.ndarray, items: Items, item: int, found: list[tuple[float
             continue
         done.add((low, high))
         region = words[low:high].tolist()
-        there = set(region)
-        if sum(w in there for w in sought) < s.least_common * len(sought):
+        if sum(map(set(region).__contains__, sought)) < least:
             continue  # more words than these cannot be in common
         common = common_words(sought, region) / len(sought)
         if common >= s.least_common and (best is None or common > best[1]):
             share = common_words(answer, region) / len(answer)
             if share >= s.least_answer:
                 best = (cosine, common, share, low, high)
-    return best
+    if best is None:
+        return None
+    # The best passage of the match, which need not be the one that led to its bounds.
+    return max(cosine for cosine, place in found if best[3] <= place < best[4]), *best[1:]
 
 
 def _identity(text: str) -> list[Column]:

@@ -80,6 +80,16 @@ def test_rows_that_share_an_id(spark, found):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[0], *rows[3:6]]))
 
 
+def test_copies_in_a_small_corpus(spark, found):
+    _, bench, _ = found
+    choose = random.Random(4)
+    clean = [" ".join(choose.choices(WORDS, k=80)) for _ in range(2)]
+    item = {r["item_id"]: r["text"] for r in bench.collect()}
+    rows = [(1, clean[0]), (2, clean[0] + " " + item[7]), (3, item[7] + " " + clean[1]), (4, clean[1] + " " + item[9])]
+    hits = leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in hits) == [(2, 7), (3, 7), (4, 9)]
+
+
 def test_stage_keeps_clean_rows_of_a_leaking_id(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
