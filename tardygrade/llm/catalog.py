@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, leaks, pieces, quality, repeats, rules, toxicity, urls, warc
+from . import chat, jaccard, leaks, phrases, pieces, quality, repeats, rules, sketches, toxicity, turns, urls, warc
 from .oracles import ORACLES
 from .common import crc_fold, read
 
@@ -90,8 +90,55 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_texts(read(spark, sf_dir, "documents"))
 
 
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of word pairs, and the component of near duplicates that it is in."""
+    return sketches.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with a fault in five of twenty turns; nulls of any column count as one blank."""
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    fault = F.crc32(F.concat(filled[0], F.lit(":"), filled[1]).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", filled[2].alias("role"), filled[3].alias("text"), fault.alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy")
+    rows = rows.filter("fault != 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies)
+    return rows.drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    conversations = read(spark, sf_dir, "conversations")
+    rows = damaged(conversations)
+    audited = turns.audits(rows)
+    found = audited.drop("conv").join(turns.digests(rows, audited), "key")
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key")
+    counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (
+        conversations.select("conv_id", key)
+        .distinct()
+        .join(found, "key", "left")
+        .select(
+            "conv_id",
+            *counts,
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words go together most."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_decontamination, op4_toxicity, op5_chat, op6_quality_rules, op7_suffix_dedup, op8_warc, op9_url_filter, op10_jaccard_join)}
+    found = (
+        op1_sentencepiece, op2_quality, op3_decontamination, op4_toxicity, op5_chat, op6_quality_rules, op7_suffix_dedup,
+        op8_warc, op9_url_filter, op10_jaccard_join, op11_near_dedup, op12_repair, op13_phrases,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
