@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import zero_safe
+from .ranges import running_totals
 
-# Scores are cut into this many ranges of equal width, and each of them again.
-SCORE_RANGES = 1 << 16
 
-
-def _outcomes(label: str, pred: Column) -> dict[str, Column]:
+def outcomes(label: str, pred: Column) -> dict[str, Column]:
     """Counts of the four outcomes for a 0/1 prediction column."""
     y = F.col(label)
     return {
@@ -33,11 +31,15 @@ def _quality(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     }
 
 
+def metrics_of(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
+    """Accuracy, precision, recall and F1 from the four counts."""
+    return {"accuracy": zero_safe(tp + tn, tp + fp + tn + fn), **_quality(tp, fp, fn)}
+
+
 def binary_metrics(df: DataFrame, label: str = "is_delayed", pred: str = "predicted_delay") -> DataFrame:
     """Accuracy, precision, recall and F1 of a 0/1 prediction, in one row."""
-    counts = df.agg(*[c.alias(name) for name, c in _outcomes(label, F.col(pred)).items()])
-    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    metrics = {"accuracy": zero_safe(tp + tn, tp + fp + tn + fn), **_quality(tp, fp, fn)}
+    counts = df.agg(*[c.alias(name) for name, c in outcomes(label, F.col(pred)).items()])
+    metrics = metrics_of(*[F.col(c) for c in ("tp", "fp", "tn", "fn")])
     return counts.select(*[c.alias(name) for name, c in metrics.items()])
 
 
@@ -52,7 +54,7 @@ def confusion(df: DataFrame, label: str = "is_delayed", pred: str = "predicted_d
     rows = [
         F.struct(F.lit(y).alias("actual"), F.lit(p).alias("predicted"), F.col(name).alias("n")) for name, y, p in cells
     ]
-    counts = df.agg(*[c.alias(name) for name, c in _outcomes(label, F.col(pred)).items()])
+    counts = df.agg(*[c.alias(name) for name, c in outcomes(label, F.col(pred)).items()])
     return counts.select(F.inline(F.array(*rows)))
 
 
@@ -62,7 +64,7 @@ def threshold_sweep(
     """Precision, recall and F1 per threshold, all from one pass without multiplying rows."""
     measures, rows = [], []
     for i, t in enumerate(thresholds):
-        counts = _outcomes(label, (F.col(score) >= t).cast("int"))
+        counts = outcomes(label, (F.col(score) >= t).cast("int"))
         measures += [counts[name].alias(f"{name}{i}") for name in ("tp", "fp", "fn")]
         quality = _quality(*[F.col(f"{name}{i}") for name in ("tp", "fp", "fn")])
         rows.append(F.struct(F.lit(float(t)).alias("threshold"), *[c.alias(name) for name, c in quality.items()]))
@@ -71,7 +73,7 @@ def threshold_sweep(
 
 def classification_report(df: DataFrame, label: str = "is_delayed", pred: str = "predicted_delay") -> DataFrame:
     """Precision, recall, F1 and support per class, with accuracy, plain and weighted averages."""
-    counts = df.agg(*[c.alias(name) for name, c in _outcomes(label, F.col(pred)).items()])
+    counts = df.agg(*[c.alias(name) for name, c in outcomes(label, F.col(pred)).items()])
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     zero, one = _quality(tn, fn, fp), _quality(tp, fp, fn)
     support = {"0": tn + fp, "1": tp + fn}
@@ -97,69 +99,45 @@ def classification_report(df: DataFrame, label: str = "is_delayed", pred: str =
 # Ranking metrics ------------------------------------------------------------
 
 
-def ranked_scores(df: DataFrame, label: str = "is_delayed", score: str = "delay_probability") -> DataFrame:
+def ranked_scores(
+    df: DataFrame, label: str = "is_delayed", score: str = "delay_probability", **sums: Column
+) -> DataFrame:
     """Positives and negatives per distinct score, and how many rank at or above it.
 
-    A single window over all scores would put every distinct score into one task. So
-    scores in [0, 1] are cut into ranges, and these once more: a running sum is the
-    sum of the higher ranges, of the higher subranges, and of the higher scores in
-    the subrange. Window groups are then the ranges (65,537 at most), the subranges of
-    one range, and the scores of one subrange. Scores outside [0, 1] rank correctly,
-    too, in the outermost ranges.
+    A single window over all scores would put every distinct score into one task. So the
+    distinct scores are dealt out in ranges that the data cut, and totals are carried from
+    range to range. Scores may be probabilities, margins or anything else that has an order.
+    Rows without a label or a score have no rank; they only add to ``sums``, further
+    aggregates per score.
     """
     y, s = F.col(label), F.col(score)
-    groups = (
-        df.filter(y.isNotNull() & s.isNotNull())
-        .groupBy(s.alias("score"))
-        .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    )
-    # Multiplying a double by a power of two is exact, and so is taking its whole part off.
-    place = F.greatest(F.least(F.col("score").cast("double"), F.lit(1.0)), F.lit(0.0)) * SCORE_RANGES
-    groups = groups.withColumn("_range", F.floor(place)).withColumn(
-        "_sub", F.floor((place - F.col("_range")) * SCORE_RANGES)
-    )
-
-    def above(frame_group: Sequence[str], order: str, prefix: str) -> list[Column]:
-        frame = Window.partitionBy(*frame_group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
-        return [F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(f"{prefix}_{c}") for c in ("pos", "neg")]
-
-    sums = [F.sum(c).alias(c) for c in ("pos", "neg")]
-    subranges = groups.groupBy("_range", "_sub").agg(*sums)
-    ranges = subranges.groupBy("_range").agg(*sums)
-    range_offsets = ranges.select("_range", *above([], "_range", "r"))
-    sub_offsets = subranges.select("_range", "_sub", *above(["_range"], "_sub", "u"))
-    within = groups.select("_range", "_sub", "score", "pos", "neg", *above(["_range", "_sub"], "score", "w"))
-
-    # The list of ranges has at most 65,537 rows of 24 bytes, whatever the data.
-    placed = within.join(sub_offsets, ["_range", "_sub"]).join(F.broadcast(range_offsets), "_range")
-    return placed.select(
-        "score",
-        "pos",
-        "neg",
-        *[(F.col(f"r_{c}") + F.col(f"u_{c}") + F.col(f"w_{c}") + F.col(c)).alias(f"cum_{c}") for c in ("pos", "neg")],
-    )
+    if not sums:
+        df = df.filter(y.isNotNull() & s.isNotNull())
+    counts = [F.count_if((y == value) & s.isNotNull()).alias(name) for name, value in (("pos", 1), ("neg", 0))]
+    groups = df.groupBy(s.alias("score")).agg(*counts, *[c.alias(name) for name, c in sums.items()])
+    return running_totals(groups, [F.desc("score")], ["pos", "neg"], label="scores")
+
+
+def ranking() -> dict[str, Column]:
+    """The figures of a table of ranked scores, as aggregates."""
+    area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
+    gain = F.sum(F.try_divide(F.col("pos") * F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")))
+    return {
+        "roc_auc": F.try_divide(area, F.sum("pos").cast("double") * F.sum("neg")),
+        "average_precision": F.try_divide(gain, F.sum("pos")),
+    }
 
 
 def roc_auc(df: DataFrame, label: str = "is_delayed", score: str = "delay_probability") -> DataFrame:
     """Area under the ROC curve; tied scores count half. Null with a single class."""
-    area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
-    pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return ranked_scores(df, label, score).agg(F.try_divide(area, pairs).alias("roc_auc"))
+    return ranked_scores(df, label, score).agg(ranking()["roc_auc"].alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str = "is_delayed", score: str = "delay_probability") -> DataFrame:
     """Mean of the precision at each distinct score, weighted by the gain in recall; no interpolation."""
-    precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    total = F.sum(F.col("pos") * precision)
-    return ranked_scores(df, label, score).agg(F.try_divide(total, F.sum("pos")).alias("average_precision"))
+    return ranked_scores(df, label, score).agg(ranking()["average_precision"].alias("average_precision"))
 
 
 def ranking_metrics(df: DataFrame, label: str = "is_delayed", score: str = "delay_probability") -> DataFrame:
     """ROC-AUC and average precision from one ranking."""
-    ranked = ranked_scores(df, label, score)
-    area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
-    gain = F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
-    return ranked.agg(
-        F.try_divide(area, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"),
-        F.try_divide(gain, F.sum("pos")).alias("average_precision"),
-    )
+    return ranked_scores(df, label, score).agg(*[c.alias(name) for name, c in ranking().items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contract import PREDICTIONS
 from ..functions import bands, first_match, percent
-from .evaluate import binary_metrics, ranking_metrics
+from .evaluate import metrics_of, outcomes, ranked_scores, ranking
 
 # Labels of risk categories and outcomes.
 RISK_LABELS = ("Low", "Medium", "High")
@@ -99,21 +99,21 @@ def carrier_ranking(df: DataFrame, min_rows: int) -> DataFrame:
     )
 
 
-def _coverage_sums(df: DataFrame) -> DataFrame:
+def _coverage_sums() -> dict[str, Column]:
     high = F.col("risk_category") == HIGH
-    return df.agg(
-        F.count("*").alias("total_flights"),
-        F.sum("is_delayed").alias("total_delays"),
-        F.count_if(high).alias("high_risk_flights"),
-        F.sum(F.when(high, F.col("is_delayed"))).alias("high_risk_delays"),
-    )
+    return {
+        "total_flights": F.count("*"),
+        "total_delays": F.sum("is_delayed"),
+        "high_risk_flights": F.count_if(high),
+        "high_risk_delays": F.sum(F.when(high, F.col("is_delayed"))),
+    }
 
 
 def coverage(df: DataFrame) -> DataFrame:
     """Share of trips and of delays in the high-risk category, in one pass."""
     flights = F.try_divide("high_risk_flights", "total_flights")
     delays = F.try_divide("high_risk_delays", "total_delays")
-    return _coverage_sums(df).select(
+    return df.agg(*[c.alias(name) for name, c in _coverage_sums().items()]).select(
         "*", percent(flights).alias("flight_share_pct"), percent(delays).alias("delay_share_pct")
     )
 
@@ -158,11 +158,15 @@ def quality_by(df: DataFrame, keys: Sequence[str], min_rows: int = 0) -> DataFra
 
 
 def model_kpis(df: DataFrame) -> DataFrame:
-    """The headline figures as (metric, value), computed from the predictions."""
-    sums = _coverage_sums(df)
-    quality = binary_metrics(df).select(F.struct("*")).scalar()
-    ranking = ranking_metrics(df).select(F.struct("*")).scalar()
-    one = sums.select("*", quality.alias("quality"), ranking.alias("ranking")).select("*", "quality.*", "ranking.*")
+    """The headline figures as (metric, value), computed from the predictions.
+
+    The predictions are read once: counts at the threshold and of the high-risk category are
+    taken per distinct score, together with those that the ranking needs, and added up after it.
+    """
+    sums = _coverage_sums() | outcomes("is_delayed", F.col("predicted_delay"))
+    ranked = ranked_scores(df, **sums)
+    one = ranked.agg(*[F.sum(name).alias(name) for name in sums], *[c.alias(name) for name, c in ranking().items()])
+    one = one.withColumns(metrics_of(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
     metrics = [
         ("Total Flights", F.col("total_flights")),
         ("Actual Delays", F.col("total_delays")),
