@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..contract import CATEGORICAL, DELAY_CAUSES, MODEL_FEATURES_V2, PROFILE_PERCENTILES, SWEEP_BOOSTED, TEST_TABLES
+from ..contract import CATEGORICAL, DELAY_CAUSES, MODEL_FEATURES_V2, PROFILE_PERCENTILES, SWEEP_BOOSTED, SWEEP_FINAL, SWEEP_FOREST_V1, TEST_TABLES
 
 P = TEST_TABLES
 
@@ -258,9 +258,9 @@ def _report_sql() -> str:
     return _with(" UNION ALL ".join(selects), "outcomes")
 
 
-def _sweep_sql() -> str:
+def _sweep_sql(thresholds: tuple[float, ...]) -> str:
     selects = []
-    for t in SWEEP_BOOSTED:
+    for t in thresholds:
         p, r, f = _quality_sql("tp", "fp", "fn")
         selects.append(
             f"""SELECT CAST({t} AS DOUBLE) AS threshold, {p} AS precision, {r} AS recall, {f} AS f1 FROM (
@@ -426,6 +426,12 @@ def oracle_sql() -> dict[str, str]:
             WHERE CAST('0x' || substr(md5(concat_ws('|', CAST(fl_date AS VARCHAR), op_unique_carrier, origin, dest, CAST(crs_dep_time AS VARCHAR), CAST(distance AS VARCHAR))), 1, 8) AS BIGINT) % 1000 < 100""",
             "completed",
         ),
+        "exact_sample": _with(
+            f"""SELECT * FROM (SELECT {DAY}, op_unique_carrier, origin, dest, crs_dep_time, distance, is_delayed FROM parts WHERE part = 'train')
+            ORDER BY md5(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ('fl_date', 'op_unique_carrier', 'origin', 'dest', 'crs_dep_time', 'distance', 'is_delayed'))})),
+            fl_date, op_unique_carrier, origin, dest, crs_dep_time, distance, is_delayed LIMIT 4000""",
+            "parts",
+        ),
         "freq_encode": _with(
             f"SELECT {DAY}, part, {', '.join(CATEGORICAL)}, {', '.join(f'f_{c}.n AS {c}_frequency' for c in CATEGORICAL)} FROM parts "
             + " ".join(f"LEFT JOIN (SELECT {c} AS v, count(*) AS n FROM parts WHERE part = 'train' GROUP BY ALL) f_{c} ON f_{c}.v = parts.{c}" for c in CATEGORICAL),
@@ -446,7 +452,9 @@ def oracle_sql() -> dict[str, str]:
         "roc_auc": _with(f"SELECT {_r6('sum(neg * (cp - pos / 2)) / (sum(pos) * sum(neg))')} AS roc_auc FROM ranked", "ranked"),
         "average_precision": _with(f"SELECT {_r6('sum(pos * (cp / (cp + cn))) / sum(pos)')} AS average_precision FROM ranked", "ranked"),
         "confusion_matrix": _with(" UNION ALL ".join(f"SELECT {y} AS actual, {p} AS predicted, CAST({n} AS BIGINT) AS n FROM outcomes" for n, y, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))), "outcomes"),
-        "threshold_sweep": _sweep_sql(),
+        "threshold_sweep": _sweep_sql(SWEEP_BOOSTED),
+        "threshold_sweep_first": _sweep_sql(SWEEP_FOREST_V1),
+        "threshold_sweep_final": _sweep_sql(SWEEP_FINAL),
         "classification_report": _report_sql(),
         "airline_risk": _risk("op_unique_carrier", predicted=True),
         "carrier_ranking": _with(
@@ -481,6 +489,13 @@ def oracle_sql() -> dict[str, str]:
         "model_kpis": _kpi_sql(),
     }
     sql["odd_time_history"] = _odd_times_sql()
+    sql["violations_odd"] = _changed_trips(
+        sql["violations"],
+        """CASE distance % 11 WHEN 0 THEN 0 WHEN 1 THEN -distance ELSE distance END AS distance,
+        CASE distance % 17 WHEN 0 THEN 2 WHEN 1 THEN NULL WHEN 2 THEN 1 ELSE cancelled END AS cancelled,
+        CASE distance % 17 WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE diverted END AS diverted,
+        CASE distance % 13 WHEN 0 THEN NULL WHEN 1 THEN -1 WHEN 2 THEN 2360 ELSE crs_dep_time END AS crs_dep_time""",
+    )
     for name, key in KEYS.items():
         sql[f"daily_{name}"] = _with(f"SELECT CAST(completed.fl_date AS VARCHAR) AS fl_date, {key}, count(*) AS {name}_flights, CAST(sum(is_delayed) AS BIGINT) AS {name}_delayed FROM completed GROUP BY ALL", "completed")
         sql[f"hist_{name}"] = _with(f"SELECT {DAY}, {key}, is_delayed, historical_{name}_flights, historical_{name}_delay_rate FROM v1", "v1")
@@ -503,8 +518,13 @@ def _odd_times_sql() -> str:
         columns += [f"CASE WHEN flight_timestamp IS NULL THEN 0 ELSE {c} END AS {c}" for c in counts]
         columns += [f"CASE WHEN flight_timestamp IS NOT NULL THEN {c} END AS {c}" for c in rates]
     sql = _with(f"SELECT {DAY}, route, crs_dep_time, {', '.join(columns)} FROM v2", "v2")
+    return _changed_trips(sql, f"{changed} AS crs_dep_time")
+
+
+def _changed_trips(sql: str, changed: str) -> str:
+    """A query over silver, whose trips are changed first."""
     head = "AS MATERIALIZED ("
-    changed_trips = f"trips {head}SELECT * REPLACE ({changed} AS crs_dep_time) FROM plain), silver {head}"
+    changed_trips = f"trips {head}SELECT * REPLACE ({changed}) FROM plain), silver {head}"
     return sql.replace(f"trips {head}", f"plain {head}", 1).replace(f"silver {head}", changed_trips, 1)
 
 

@@ -20,6 +20,8 @@ from ..contract import (
     MODEL_FEATURES_V1,
     MODEL_FEATURES_V2,
     SWEEP_BOOSTED,
+    SWEEP_FINAL,
+    SWEEP_FOREST_V1,
     TEST_TABLES,
     check_contract,
 )
@@ -36,7 +38,7 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 )
-# Labelled training rows, at most about so many, that the registered model fits see.
+# Labelled training rows, exactly so many if there are, that the registered model fits see.
 LABELLED_ROWS = 4_000
 HASH_KEYS = ["fl_date", "op_unique_carrier", "origin", "dest", "crs_dep_time", "distance"]
 STATUS_COLUMNS = ["fl_date", "op_unique_carrier", "origin", "dest", "cancelled", "diverted"]
@@ -248,6 +250,20 @@ def _(spark, sf_dir):
     return quality.violations(trips(spark, sf_dir))
 
 
+@_register("violations_odd")
+def _(spark, sf_dir):
+    """The same counts over trips some of which break each of the rules."""
+    kind, distance = F.col("distance") % 17, F.col("distance")
+    none = F.lit(None)
+    odd = {
+        "distance": F.when(distance % 11 == 0, 0).when(distance % 11 == 1, -distance).otherwise(distance),
+        "cancelled": F.when(kind == 0, 2).when(kind == 1, none).when(kind == 2, 1).otherwise(F.col("cancelled")),
+        "diverted": F.when(kind == 2, 1).when(kind == 3, -1).otherwise(F.col("diverted")),
+        "crs_dep_time": F.when(distance % 13 == 0, none).when(distance % 13 == 1, -1).when(distance % 13 == 2, 2360).otherwise(F.col("crs_dep_time")),
+    }
+    return quality.violations(trips(spark, sf_dir).withColumns({c: x.cast("int") for c, x in odd.items()}))
+
+
 @_register("feature_preview")
 def _(spark, sf_dir):
     table = history.attach_history(_completed(spark, sf_dir), DAY_ENTITIES)
@@ -530,6 +546,13 @@ def _(spark, sf_dir):
     return split.bernoulli(split.part_of(_split(spark, sf_dir), "validation"), fraction=0.20)
 
 
+@_register("exact_sample")
+def _(spark, sf_dir):
+    """Training rows, as many as the models are fitted on."""
+    train = split.part_of(_split(spark, sf_dir), "train").select(*HASH_KEYS, "is_delayed")
+    return split.exact_sample(train, LABELLED_ROWS)
+
+
 @_register("hash_sample")
 def _(spark, sf_dir):
     return split.hash_sample(_completed(spark, sf_dir), HASH_KEYS, 100).select(*HASH_KEYS, "is_delayed")
@@ -625,6 +648,16 @@ def _(spark, sf_dir):
     return evaluate.threshold_sweep(_predictions(spark, sf_dir), SWEEP_BOOSTED)
 
 
+@_register("threshold_sweep_first")
+def _(spark, sf_dir):
+    return evaluate.threshold_sweep(_predictions(spark, sf_dir), SWEEP_FOREST_V1)
+
+
+@_register("threshold_sweep_final")
+def _(spark, sf_dir):
+    return evaluate.threshold_sweep(_predictions(spark, sf_dir), SWEEP_FINAL)
+
+
 @_register("classification_report", ["precision", "recall", "f1"])
 def _(spark, sf_dir):
     return evaluate.classification_report(_predictions(spark, sf_dir))
@@ -686,7 +719,6 @@ def _(spark, sf_dir):
 
 
 # Models ---------------------------------------------------------------------
-# Small settings keep these quick; the full ones are listed in operators.models.
 
 
 def _build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -716,8 +748,7 @@ def _model(spark: SparkSession, sf_dir: str, kind: str, first: bool = False) ->
     key = (spark.sparkContext.applicationId, sf_dir, f"{kind}{1 if first else 2}")
     if key not in _MODELS:
         table = split.freq_encode(_stored_features(spark, sf_dir)) if first else _stored_features(spark, sf_dir)
-        train = split.bernoulli(split.part_of(table, "train"), n=LABELLED_ROWS)
-        train = materialize(train.coalesce(1), "sample")
+        train = materialize(split.exact_sample(split.part_of(table, "train"), LABELLED_ROWS), "sample")
         settings = {"logistic": models.LOGISTIC_V1, "forest": models.FOREST_V1, "boosted": models.BOOSTED_V1}
         chosen = settings[kind] if first else models.FINAL[kind]
         _MODELS[key] = models.fit(train, MODEL_FEATURES_V1 if first else MODEL_FEATURES_V2, kind, **chosen)

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from datetime import date as Date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contract import CATEGORICAL
 from ..functions import first_match
 from ..session import materialize
+from .ranges import running_totals
 
 PARTS = ("train", "validation", "test")
 
@@ -38,6 +39,34 @@ def bernoulli(df: DataFrame, n: int | None = None, fraction: float | None = None
     return df.sample(withReplacement=False, fraction=min(fraction, 1.0), seed=seed)
 
 
+def exact_sample(df: DataFrame, n: int, keys: Sequence[str] | None = None) -> DataFrame:
+    """Exactly ``n`` rows, or all if there are fewer: those with the smallest MD5 of their keys.
+
+    The rows do not depend on how the data is partitioned. ``keys`` are all columns by default;
+    of rows with equal keys the first by their columns are taken. One pass counts the first 16
+    bits of the digests, in at most 65,536 groups, and tells up to which group all rows belong
+    to the sample. Only the rows of the one group in which it ends are ordered, in ranges, with
+    equal rows as one. The sample itself is a filter and stays as spread as its input.
+    """
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys or df.columns]))
+    group = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+    counts = df.groupBy(group.alias("g")).agg(F.count("*").alias("n"))
+    # A window over at most 65,536 rows, of which one is collected.
+    upto = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    through = counts.withColumn("through", F.sum("n").over(upto))
+    last = through.filter(F.col("through") >= n).orderBy("g").limit(1).collect()
+    if not last:
+        return df
+    end, rest = last[0]["g"], n - (last[0]["through"] - last[0]["n"])
+    edge = df.filter(group == end).groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    order = [F.asc("_digest"), *[F.asc(c) for c in df.columns]]
+    edge = running_totals(edge.withColumn("_digest", digest), order, ["_n"], label="sample_edge")
+    copies = F.least(F.col("_n"), F.lit(rest) - (F.col("cum__n") - F.col("_n")))
+    edge = edge.withColumn("_copies", copies).filter("_copies > 0")
+    edge = edge.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return df.filter(group < end).unionByName(edge.select(*df.columns))
+
+
 def hash_sample(df: DataFrame, keys: Sequence[str], permille: int) -> DataFrame:
     """About ``permille`` of 1000 rows, chosen by the MD5 of their keys; the same rows on every run."""
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
@@ -63,13 +92,21 @@ def fit_frequencies(train: DataFrame, cols: Sequence[str] = CATEGORICAL) -> Data
 
 
 def apply_frequencies(df: DataFrame, frequencies: DataFrame, cols: Sequence[str] = CATEGORICAL) -> DataFrame:
-    """Adds ``<col>_frequency``; a value that training never saw has none."""
+    """Adds ``<col>_frequency``; a value that training never saw has none.
+
+    The frequencies are joined with the distinct combinations of values, and the wide rows with the
+    result once. Its rows are unique, so a hot combination can only be on the wide side, where
+    adaptive execution splits it.
+    """
+    found = df.select(*cols).distinct()
     for c in cols:
         table = frequencies.filter(F.col("column_name") == c).select(
             F.col("value").alias("_value"), F.col("frequency").alias(f"{c}_frequency")
         )
-        df = df.join(table, F.col(c).cast("string") == F.col("_value"), "left").drop("_value")
-    return df
+        found = found.join(table, F.col(c).cast("string") == F.col("_value"), "left").drop("_value")
+    found = found.withColumnsRenamed({c: f"_own_{c}" for c in cols})
+    same = [F.col(c).eqNullSafe(F.col(f"_own_{c}")) for c in cols]
+    return df.join(found, same, "left").drop(*[f"_own_{c}" for c in cols])
 
 
 def freq_encode(df: DataFrame, cols: Sequence[str] = CATEGORICAL, part: str = "train") -> DataFrame:
