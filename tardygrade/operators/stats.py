@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contract import DELAY_CAUSES
 from ..functions import bands, percent
+from .quantiles import grouped_medians
 
 # Distance ranges.
 DISTANCE_EDGES = (500, 1000, 1500, 2500)
@@ -28,14 +29,17 @@ def group_stats(
     """Rows, mean delay, share of delayed trips and optionally the exact median delay per group.
 
     Groups with fewer than ``min_rows`` rows are left out; ``top`` keeps the groups
-    with the highest share. The median merges one counter per distinct delay, and
-    delays are whole minutes, so its buffer is bounded by the clock, not by the rows.
+    with the highest share. The median is that of ``grouped_medians``, for which ``df`` is
+    read once more; the measure may have any number of distinct values.
     """
     measures = [F.count("*").alias("flights"), F.round(F.avg(delay), 2).alias(f"avg_{delay}")]
-    if median:
-        measures.append(F.round(F.percentile(delay, F.lit(0.5)), 2).alias(f"median_{delay}"))
     measures.append(percent(F.avg(label)).alias("delay_rate_pct"))
     table = df.groupBy(*keys).agg(*measures)
+    if median:
+        name = f"median_{delay}"
+        medians = grouped_medians(df, keys, delay, name).withColumnsRenamed({k: f"_{k}" for k in keys})
+        table = table.join(medians, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+        table = table.select(*keys, "flights", f"avg_{delay}", F.round(name, 2).alias(name), "delay_rate_pct")
     if min_rows:
         table = table.filter(F.col("flights") >= min_rows)
     table = table.orderBy(F.desc("delay_rate_pct"), *keys)

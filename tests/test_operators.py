@@ -127,9 +127,88 @@ def test_quantiles_of_nothing(spark):
     assert exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]}
 
 
+def test_running_totals_against_brute_force(spark):
+    from tardygrade.operators.ranges import running_totals
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), x, rng.randrange(5)) for x in rng.sample(range(10**9), 400)]
+    df = spark.createDataFrame(rows, "k string, x long, n long")
+    got = running_totals(df, [F.desc("x")], ["n"], ["k"]).collect()
+    assert len(got) == len(rows)
+    for k, x, n, total in got:
+        assert total == sum(r[2] for r in rows if r[0] == k and r[1] >= x)
+    assert running_totals(df.limit(0), [F.asc("x")], ["n"]).collect() == []
+
+
+def test_grouped_medians(spark):
+    from tardygrade.operators.quantiles import grouped_medians
+
+    groups = {"one": [2.5], "two": [1.0, 4.0], "ties": [3.0] * 50 + [9.0] * 50, "none": [None, None], None: [1.0, 2.0, 7.0]}
+    rows = [(k, float(v) if v is not None else None) for k, own in groups.items() for v in own]
+    small = spark.createDataFrame(rows + [("one", float("nan"))], "k string, x double")
+    wide = spark.range(0, 1_000_000, 1, 16).select(F.lit("wide").alias("k"), F.sin("id").alias("x"))
+    got = {r["k"]: r["m"] for r in grouped_medians(small.union(wide), ["k"], "x", "m").collect()}
+    want = {k: float(np.median(own)) for k, own in groups.items() if k != "none"}
+    want["wide"] = float(np.median(np.sin(np.arange(1_000_000))))
+    assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_sketch_keeps_its_rank_error(spark):
+    from tardygrade.operators import quantiles
+
+    rng = np.random.default_rng(4)
+    values = np.exp(rng.normal(0, 3, 300_000))
+    df = spark.createDataFrame([(float(v),) for v in np.sort(values)], "c0 double").repartition(90)
+    points, upto = quantiles._sketches(df)[0]
+    assert len(points) <= quantiles.POINTS and upto[-1] == pytest.approx(len(values))
+    ranks = np.searchsorted(np.sort(values), points)
+    assert np.abs(ranks - upto).max() <= 2 * quantiles.RANK_ERROR * len(values)
+
+
 # Splits and preparation -----------------------------------------------------
 
 
+def test_exact_sample(spark):
+    import hashlib
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), rng.choice(["x", "y", None])) for _ in range(500)] + [(7, "hot")] * 400
+    df = spark.createDataFrame(rows, "a long, b string")
+    place = lambda r: hashlib.md5("|".join("" if v is None else str(v) for v in r).encode()).hexdigest()
+    for n in (0, 1, 250, 640, 899, 900, 5000):
+        want = sorted(map(repr, sorted(rows, key=lambda r: (place(r), str(r)))[:n]))
+        for parts in (1, 7):
+            got = split.exact_sample(df.repartition(parts), n)
+            assert sorted(repr(tuple(r)) for r in got.collect()) == want
+    by_key = split.exact_sample(df, 100, ["a"])
+    assert by_key.columns == df.columns and by_key.count() == 100
+    assert split.exact_sample(df.limit(0), 5).collect() == []
+
+
+def test_a_sample_stays_spread(spark):
+    """The rows of the sample are filtered where they are; only totals of ranges meet in one task."""
+    df = spark.range(0, 100_000, 1, 16).withColumn("x", F.col("id") % 9)
+    sample = split.exact_sample(df, 40_000)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.count("SinglePartition") <= 1
+    assert sample.rdd.getNumPartitions() >= 16
+
+
+def test_frequencies_join_the_wide_table_once(spark):
+    rows = [("train", "A", "x", 1.0), ("train", "A", "y", 2.0), ("test", "B", "x", 3.0), ("test", None, "x", 4.0)]
+    df = spark.createDataFrame(rows, "part string, k string, m string, wide double")
+    table = split.freq_encode(df, ["k", "m"])
+    got = {r["wide"]: (r["k_frequency"], r["m_frequency"]) for r in table.collect()}
+    assert got == {1.0: (2, 1), 2.0: (2, 1), 3.0: (None, 1), 4.0: (None, 1)}
+
+    def wide_joins(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        own = "Join" in node.nodeName() and any("wide" in c.output().toString() for c in children)
+        return own + sum(map(wide_joins, children))
+
+    assert wide_joins(table._jdf.queryExecution().optimizedPlan()) == 1
+
+
 def test_split_edges(spark):
     days = [date(1999, 12, 31), date(2000, 1, 1), date(2000, 12, 31), date(2001, 1, 1), None]
     df = spark.createDataFrame([(d,) for d in days], "fl_date date")
@@ -214,6 +293,50 @@ def test_ranking_against_brute_force(spark):
     assert tuple(got) == pytest.approx(brute_force(rows), rel=1e-12)
 
 
+def test_ranking_of_a_million_margins(spark):
+    """Margins of any size are dealt out evenly, and ranked as NumPy ranks them."""
+    from tardygrade.operators.ranges import running_totals
+
+    df = spark.range(0, 1_000_000, 1, 16).select(
+        (F.sin("id") * 1000 + 5).alias("delay_probability"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("int").alias("is_delayed")
+    )
+    got = evaluate.ranking_metrics(df).first()
+    rows = np.array(df.orderBy(F.desc("delay_probability")).select("is_delayed").toPandas()["is_delayed"])
+    positives = np.cumsum(rows)
+    auc = float((positives * (1 - rows)).sum() / (rows.sum() * (1 - rows).sum()))
+    ap = float((rows * positives / np.arange(1, len(rows) + 1)).sum() / rows.sum())
+    assert tuple(got) == pytest.approx((auc, ap), rel=1e-9)
+    ranked = evaluate.ranked_scores(df)
+    assert running_totals(ranked.select("score", "pos"), [F.desc("score")], ["pos"]).count() == 1_000_000
+    sizes = df.repartitionByRange(8, F.desc("delay_probability")).groupBy(F.spark_partition_id()).count()
+    assert sizes.agg(F.max("count")).first()[0] < 3 * 1_000_000 / 8
+
+
+def test_headline_figures_read_the_predictions_once(spark, tmp_path):
+    rows = [(0.9, 1), (0.8, 0), (0.7, 1), (0.7, 0), (0.1, 0), (0.2, None)]
+    df = report.risk_category(report.predict_label(scored(spark, rows))).coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = {r["metric"]: r["value"] for r in report.model_kpis(df.mapInArrow(watched, df.schema)).collect()}
+    # One job cuts the ranges, which samples the counts, and one writes them.
+    assert seen.value <= 2 * len(rows)
+    assert got["Total Flights"] == 6 and got["ROC-AUC"] == pytest.approx(0.75) and got["PR-AUC"] == pytest.approx(0.75)
+    assert got["High-Risk Flights"] == 4 and got["Accuracy"] == pytest.approx(0.6)
+
+
+def test_rows_that_break_rules_are_found(spark):
+    rows = [(5, 0, 0), (0, 0, 0), (-1, 0, 0), (None, 0, 0), (5, 2, 0), (5, 0, -1), (5, None, 0), (5, 1, 1)]
+    df = spark.createDataFrame(rows, "distance int, cancelled int, diverted int")
+    assert sorted(r["distance"] for r in quality.bad_distance(df).collect()) == [-1, 0]
+    assert sorted(tuple(r)[1:] for r in quality.bad_flags(df).collect()) == [(0, -1), (2, 0)]
+    assert [tuple(r) for r in quality.conflicting_flags(df).collect()] == [(5, 1, 1)]
+
+
 def test_single_class(spark):
     df = report.predict_label(scored(spark, [(0.2, 0), (0.9, 0)]))
     assert evaluate.roc_auc(df).first()[0] is None
