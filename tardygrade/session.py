@@ -24,9 +24,6 @@ def session_conf(shuffle_bytes: int | None = None, cores: int = 8) -> dict[str,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # A measured build side below this is hashed instead of sorting both sides.
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(128 << 20),
-        # HotSpot does not compile methods of more than 8000 bytes. Wide feature
-        # projections exceed that when they are fused, so they are left unfused.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.shuffle.partitions": str(partitions),
     }
 
