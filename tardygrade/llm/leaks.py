@@ -35,7 +35,8 @@ class Settings:
     """A passage is ``blocks`` blocks of ``block`` words and starts at every block.
 
     ``least_cosine`` only chooses candidates and is low, as the words decide.
-    ``items`` bounds the benchmark items that are searched for, and broadcast, at a time.
+    ``items`` and ``item_bytes`` bound the benchmark items that are searched for, and broadcast, at
+    a time; ``beside`` of them are compared with some texts at once.
     """
 
     block: int = 8
@@ -47,6 +48,8 @@ class Settings:
     least_common: float = 0.6
     least_answer: float = 0.5
     items: int = 20_000
+    item_bytes: int = 16 << 20
+    beside: int = 128
     seed: int = 11
 
 
@@ -113,7 +116,9 @@ class Passages:
         number = np.arange(len(self.owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         self.word = number * s.block
         # Terms by block; places without a word have a term of their own.
-        place = ((ends - sizes)[self.owner] + self.word)[:, None] + np.arange(s.block)
+        self.first = (ends - sizes)[self.owner] + self.word
+        self.ends = np.cumsum(per_text)
+        place = self.first[:, None] + np.arange(s.block)
         padded = np.append(words.astype(np.int64) % s.terms, s.terms)
         self.term = padded[np.where(place < ends[self.owner][:, None], place, len(words))]
         # A passage begins at every block; short ends stay with the last full passage.
@@ -122,35 +127,40 @@ class Passages:
     def counts(self) -> np.ndarray:
         return np.bincount(self.term.ravel(), minlength=self.s.terms + 1)[: self.s.terms]
 
-    def _parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(passages, blocks): the k-th block of all passages that have one, for each k."""
+    def _parts(self, some: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passages, blocks): the k-th block of all passages, or some of them, that have one, for each k."""
+        heads = self.heads if some is None else self.heads[some]
         for k in range(self.s.blocks):
-            at = self.heads + k
-            inside = np.flatnonzero(at < len(self.owner))
-            inside = inside[self.owner[at[inside]] == self.owner[self.heads[inside]]]
+            at = heads + k
+            inside = np.flatnonzero(at < self.ends[self.owner[heads]])
             yield inside, at[inside]
 
-    def sums(self, of_term: np.ndarray) -> np.ndarray:
-        """Sum over the words of each passage of a row per term."""
+    def sums(self, of_term: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+        """Sum over the words of each passage, or of some of them, of a row per term."""
         table = np.concatenate([of_term, np.zeros((1, of_term.shape[1]), of_term.dtype)])
-        blocks = np.zeros((len(self.term), table.shape[1]), table.dtype)
+        needed = np.arange(len(self.term))
+        if some is not None:
+            head = self.heads[some]
+            needed = np.unique(np.minimum(head[:, None] + np.arange(self.s.blocks), self.ends[self.owner[head]][:, None] - 1))
+        blocks = np.zeros((len(needed), table.shape[1]), table.dtype)
         # Some blocks at a time, so that sums stay in the processor's cache.
-        for start in range(0, len(blocks), 512):
-            part = blocks[start : start + 512]
+        for start in range(0, len(needed), 512):
+            part, own = blocks[start : start + 512], needed[start : start + 512]
             for k in range(self.s.block):
-                part += table[self.term[start : start + 512, k]]
-        total = np.zeros((len(self.heads), table.shape[1]), table.dtype)
-        for passages, own in self._parts():
-            total[passages] += blocks[own]
+                part += table[self.term[own, k]]
+        chosen = np.arange(len(self.heads)) if some is None else some
+        total = np.zeros((len(chosen), table.shape[1]), table.dtype)
+        for passages, own in self._parts(chosen):
+            total[passages] += blocks[own if some is None else np.searchsorted(needed, own)]
         return total
 
     def spread(self, of_passage: np.ndarray) -> np.ndarray:
         """Sum over the passages with each term (as often as it is there) of a row per passage."""
-        blocks = np.zeros((of_passage.shape[1], len(self.term)))
+        blocks = np.zeros((len(self.term), of_passage.shape[1]), of_passage.dtype)
         for passages, own in self._parts():
-            blocks[:, own] += of_passage[passages].T
+            blocks[own] += of_passage[passages]
         terms, size = self.term.ravel(), self.s.terms + 1
-        columns = [np.bincount(terms, np.repeat(row, self.s.block), minlength=size) for row in blocks]
+        columns = [np.bincount(terms, np.repeat(row, self.s.block), minlength=size) for row in np.ascontiguousarray(blocks.T)]
         return np.stack(columns, axis=1)[: self.s.terms]
 
 
@@ -207,9 +217,11 @@ class LatentSpace:
 
     weight: np.ndarray
     s: Settings
+    share: np.ndarray | None = None  # of each term among all words
 
-    def vectors(self, passages: Passages) -> np.ndarray:
-        found = passages.sums(self.weight)
+    def vectors(self, passages: Passages, some: np.ndarray | None = None) -> np.ndarray:
+        """Directions of the passages, or of some of them."""
+        found = passages.sums(self.weight, some)
         return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
 
@@ -238,7 +250,7 @@ def latent_space(tokens: DataFrame, s: Settings = Settings()) -> LatentSpace:
     order = np.argsort(-value)[: max(1, min(s.dimensions, int(counts.sum()) // (8 * s.block)))]
     there = value[order] > max(1e-6 * value.max(), 1e-12)
     scale = np.where(there, 1 / np.sqrt(np.where(there, value[order], 1)), 0)
-    return LatentSpace((idf * (basis @ (vector[:, order] * scale))).astype(np.float32), s)
+    return LatentSpace((idf * (basis @ (vector[:, order] * scale))).astype(np.float32), s, share.astype(np.float32))
 
 
 # Checks on words --------------------------------------------------------------
@@ -268,48 +280,125 @@ def answer_of(text: str) -> list[int]:
 
 @dataclass
 class Items:
-    """Benchmark items with the vectors of their passages."""
+    """Some benchmark items with the vectors of their passages and a bound on what texts have in common with them.
+
+    Words in common are at most those of the item that are frequent in the corpus (``base``), all
+    taken as found, and the words of the text that are other words of the item (``rare``, by word
+    and item). Which words count as frequent only decides how sharp the bound is.
+    """
 
     ids: list
     words: list[list[int]]
     answers: list[list[int]]
     owner: np.ndarray
     vectors: np.ndarray
+    vocabulary: np.ndarray
+    known: np.ndarray  # whether a word of the vocabulary has these last bits
+    rare: tuple[np.ndarray, np.ndarray]  # items of each word, one after the other, and where they end
+    base: np.ndarray
+    sizes: np.ndarray
+    reach: np.ndarray  # in blocks, to both sides of a passage
 
     @staticmethod
     def of(rows: list[tuple], space: LatentSpace) -> Items:
-        rows = [r for r in rows if r[1] and word_hashes(r[1])]
+        s = space.s
         words = [word_hashes(text) for _, text in rows]
         flat = np.array([w for x in words for w in x], np.int64)
-        passages = Passages(flat, np.array([len(x) for x in words], np.int64), space.s)
+        sizes = np.array([len(x) for x in words], np.int64)
+        passages = Passages(flat, sizes, s)
         owner = passages.owner[passages.heads]
-        return Items([r[0] for r in rows], words, [answer_of(t) for _, t in rows], owner, space.vectors(passages))
+        vocabulary, number = np.unique(flat.astype(np.int32), return_inverse=True)
+        counts = np.zeros((len(vocabulary), len(words)), np.int32)
+        np.add.at(counts, (number, np.repeat(np.arange(len(words)), sizes)), 1)
+        share = np.zeros(s.terms) if space.share is None else space.share
+        region = 2 * (sizes + s.block) + s.block * s.blocks
+        expected = share[vocabulary.astype(np.int64) % s.terms][:, None] * region
+        frequent = 2 * expected >= np.maximum(counts, 1)
+        base = np.where(frequent, counts, 0).sum(axis=0)
+        of_word, of_item = np.nonzero((counts > 0) & ~frequent)
+        known = np.zeros(1 << 16, bool)
+        known[vocabulary[np.unique(of_word)] & 0xFFFF] = True
+        return Items(
+            [r[0] for r in rows], words, [answer_of(t) for _, t in rows], owner, space.vectors(passages), vocabulary, known,
+            (of_item, np.cumsum(np.bincount(of_word, minlength=len(vocabulary)))), base, sizes, -(-(sizes + s.block) // s.block),
+        )
+
+    @staticmethod
+    def some(rows: list[tuple], space: LatentSpace) -> list[Items]:
+        """Items in groups of ``beside``; items without words are left out."""
+        rows, size = [r for r in rows if r[1] and word_hashes(r[1])], space.s.beside
+        return [Items.of(rows[k : k + size], space) for k in range(0, len(rows), size)]
+
+    def rare_words(self, words: np.ndarray, passages: Passages) -> np.ndarray:
+        """Running numbers of rare words of each item before each block of some texts."""
+        at = np.flatnonzero(self.known[words & 0xFFFF])
+        number = np.minimum(np.searchsorted(self.vocabulary, words[at]), len(self.vocabulary) - 1)
+        inside = self.vocabulary[number] == words[at]
+        at, number = at[inside], number[inside]
+        items, ends = self.rare
+        times = np.diff(ends, prepend=0)[number]
+        # The items of each word found, one after the other.
+        shift = np.repeat(ends[number] - np.cumsum(times), times)
+        item = items[np.arange(times.sum()) + shift]
+        block = np.searchsorted(passages.first, np.repeat(at, times), "right")
+        shape = len(passages.first) + 1, len(self.ids)
+        found = np.bincount(block * shape[1] + item, minlength=shape[0] * shape[1]).reshape(shape)
+        return np.cumsum(found, axis=0, dtype=np.int32)
 
 
 HITS = "cosine double, common double, answer double, first_word int, last_word int, h1 long, h2 long"
 
 
+def _candidates(words: np.ndarray, passages: Passages, own: Items, space: LatentSpace) -> Iterator[tuple]:
+    """(text, item, cosines, places) of pairs with passages that are near and may have enough words in common.
+
+    The bound on words is the cheaper test, so cosines are computed for passages that pass it.
+    """
+    s = space.s
+    before = own.rare_words(words, passages)
+    least = s.least_common * own.sizes - own.base
+    starts = np.r_[0, passages.ends[:-1]]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+    for k in range(0, len(passages.heads), 4096):
+        head = passages.heads[k : k + 4096]
+        text = passages.owner[head]
+        enough = np.empty((len(head), len(own.ids)), bool)
+        for reach in np.unique(own.reach):
+            items = np.flatnonzero(own.reach == reach)
+            first = np.maximum(head - reach, starts[text])
+            last = np.minimum(head + s.blocks + reach, passages.ends[text])
+            enough[:, items] = before[last][:, items] - before[first][:, items] >= least[items]
+        near = np.flatnonzero(enough.any(axis=1))
+        cosine = space.vectors(passages, k + near) @ own.vectors.T
+        row, column = np.nonzero((cosine >= s.least_cosine) & enough[near][:, own.owner])
+        found.append((text[near[row]], own.owner[column], cosine[row, column], passages.word[head[near[row]]]))
+    text, item, cosine, place = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((item, text))
+    text, item, cosine, place = text[order], item[order], cosine[order], place[order]
+    edges = np.r_[0, np.flatnonzero(np.diff(text) | np.diff(item)) + 1, len(text)] if len(text) else []
+    for a, z in zip(edges, edges[1:]):
+        yield int(text[a]), int(item[a]), cosine[a:z], place[a:z]
+
+
 def _search(space, items, id_kind: pa.DataType, item_kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, latent = items.value, space.value
-        s, targets = latent.s, own.vectors.T
+        latent = space.value
+        s = latent.s
         for batch, words, sizes, passages in _each(batches, latent.s):
+            if not len(words):
+                continue
             starts = np.cumsum(sizes) - sizes
-            best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-            vectors = latent.vectors(passages)
-            for k in range(0, len(vectors), 4096):
-                cosine = vectors[k : k + 4096] @ targets
-                row, column = np.nonzero(cosine >= s.least_cosine)
-                head = passages.heads[k + row]
-                found = (passages.owner[head], own.owner[column], cosine[row, column], passages.word[head])
-                for text, item, value, place in zip(*(x.tolist() for x in found)):
-                    best.setdefault((text, item), []).append((value, place))
+            head_text, head_word = passages.owner[passages.heads], passages.word[passages.heads]
             ids, h1, h2 = (batch.column(k) for k in (0, 2, 3))
             rows = []
-            for (text, item), found in best.items():
-                hit = _checked(words[starts[text] : starts[text] + sizes[text]], own, item, found, s)
-                if hit:
-                    rows.append((ids[text].as_py(), own.ids[item], *hit, h1[text].as_py(), h2[text].as_py()))
+            for own in items.value:
+                for text, item, *found in _candidates(words, passages, own, latent):
+                    hit = _checked(words[starts[text] : starts[text] + sizes[text]], own, item, *found, s)
+                    if hit:
+                        # The best passage of the match, which need not be the one that led to its bounds.
+                        inside = np.flatnonzero((head_text == text) & (head_word >= hit[2]) & (head_word < hit[3]))
+                        cosine = float((latent.vectors(passages, inside) @ own.vectors[own.owner == item].T).max())
+                        rows.append((ids[text].as_py(), own.ids[item], cosine, *hit, h1[text].as_py(), h2[text].as_py()))
             kinds = [id_kind, item_kind, *[pa.float64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * 2]
             names = ["doc_id", "item_id", "cosine", "common", "answer", "first_word", "last_word", "h1", "h2"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
@@ -317,28 +406,33 @@ def _search(space, items, id_kind: pa.DataType, item_kind: pa.DataType):
     return run
 
 
-def _checked(words: np.ndarray, items: Items, item: int, found: list[tuple[float, int]], s: Settings) -> tuple | None:
-    """The best of an item's candidate places in a text that passes both checks."""
+def _checked(words: np.ndarray, items: Items, item: int, cosines: np.ndarray, places: np.ndarray, s: Settings) -> tuple | None:
+    """Shares in common and bounds of the best of an item's candidate places in a text that passes both checks."""
     sought, answer = items.words[item], items.answers[item]
-    least = s.least_common * len(sought)
-    width, done, best = len(sought) + s.block, set(), None
-    for cosine, place in sorted(found, reverse=True):
-        low, high = max(0, place - width), min(len(words), place + s.block * s.blocks + width)
-        if (low, high) in done:
+    width, least = len(sought) + s.block, s.least_common * len(sought)
+    order = np.lexsort((-places, -cosines))
+    low = np.maximum(0, places[order] - width)
+    high = np.minimum(len(words), places[order] + s.block * s.blocks + width)
+    # Words that a region and the item have in common, each as often as both have it, bound the
+    # subsequence; running numbers of each word give them for all regions at once.
+    begin, end = int(low.min()), int(high.max())
+    distinct, times = np.unique(np.array(sought, words.dtype), return_counts=True)
+    upto = np.zeros((len(distinct), end - begin + 1), np.int32)
+    np.cumsum(words[begin:end] == distinct[:, None], axis=1, out=upto[:, 1:])
+    shared = np.minimum(upto[:, high - begin] - upto[:, low - begin], times[:, None]).sum(axis=0)
+    best, done = None, set()
+    for k in np.flatnonzero(shared >= least):
+        a, z = int(low[k]), int(high[k])
+        if (a, z) in done:
             continue
-        done.add((low, high))
-        region = words[low:high].tolist()
-        if sum(map(set(region).__contains__, sought)) < least:
-            continue  # more words than these cannot be in common
+        done.add((a, z))
+        region = words[a:z].tolist()
         common = common_words(sought, region) / len(sought)
-        if common >= s.least_common and (best is None or common > best[1]):
+        if common >= s.least_common and (best is None or common > best[0]):
             share = common_words(answer, region) / len(answer)
             if share >= s.least_answer:
-                best = (cosine, common, share, low, high)
-    if best is None:
-        return None
-    # The best passage of the match, which need not be the one that led to its bounds.
-    return max(cosine for cosine, place in found if best[3] <= place < best[4]), *best[1:]
+                best = (common, share, a, z)
+    return best
 
 
 def _identity(text: str) -> list[Column]:
@@ -353,16 +447,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
     id_type = rows.schema["doc_id"].dataType.simpleString()
     tokens = materialize(rows.mapInArrow(_tokens, f"doc_id {id_type}, words array<int>, h1 long, h2 long"), "tokens")
     space = latent_space(tokens.select("doc_id", "words"), s)
-    items = benchmark.select("item_id", "text").filter("text is not null")
+    items = benchmark.select("item_id", "text").filter("text is not null").distinct()
     item_type = items.schema["item_id"].dataType.simpleString()
-    count = items.count()
-    parts = max(1, -(-count // s.items))
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-count // s.items), -(-size // s.item_bytes))
     kinds = [pa.int64() if t in ("bigint", "int") else pa.string() for t in (id_type, item_type)]
     shared = spark.sparkContext.broadcast(space)
     hits = None
     for part in range(parts):
         chosen = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        own = spark.sparkContext.broadcast(Items.of(sorted(map(tuple, chosen.collect()), key=str), space))
+        own = spark.sparkContext.broadcast(Items.some(sorted(map(tuple, chosen.collect()), key=str), space))
         found = tokens.mapInArrow(_search(shared, own, *kinds), f"doc_id {id_type}, item_id {item_type}, {HITS}")
         hits = found if hits is None else hits.unionByName(found)
     return hits.dropDuplicates(["doc_id", "h1", "h2", "item_id"])
