@@ -329,8 +329,8 @@ class Items:
         rows, size = [r for r in rows if r[1] and word_hashes(r[1])], space.s.beside
         return [Items.of(rows[k : k + size], space) for k in range(0, len(rows), size)]
 
-    def rare_words(self, words: np.ndarray, passages: Passages) -> np.ndarray:
-        """Running numbers of rare words of each item before each block of some texts."""
+    def rare_words(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Running numbers of rare words of each item before each block; blocks begin at ``first``."""
         at = np.flatnonzero(self.known[words & 0xFFFF])
         number = np.minimum(np.searchsorted(self.vocabulary, words[at]), len(self.vocabulary) - 1)
         inside = self.vocabulary[number] == words[at]
@@ -340,8 +340,8 @@ class Items:
         # The items of each word found, one after the other.
         shift = np.repeat(ends[number] - np.cumsum(times), times)
         item = items[np.arange(times.sum()) + shift]
-        block = np.searchsorted(passages.first, np.repeat(at, times), "right")
-        shape = len(passages.first) + 1, len(self.ids)
+        block = np.searchsorted(first, np.repeat(at, times), "right")
+        shape = len(first) + 1, len(self.ids)
         found = np.bincount(block * shape[1] + item, minlength=shape[0] * shape[1]).reshape(shape)
         return np.cumsum(found, axis=0, dtype=np.int32)
 
@@ -355,18 +355,21 @@ def _candidates(words: np.ndarray, passages: Passages, own: Items, space: Latent
     The bound on words is the cheaper test, so cosines are computed for passages that pass it.
     """
     s = space.s
-    before = own.rare_words(words, passages)
+    bounds, widest = np.r_[passages.first, len(words)], int(own.reach.max())
     least = s.least_common * own.sizes - own.base
     starts = np.r_[0, passages.ends[:-1]]
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
     for k in range(0, len(passages.heads), 4096):
         head = passages.heads[k : k + 4096]
         text = passages.owner[head]
+        # Blocks that these passages reach.
+        low, high = max(0, int(head[0]) - widest), min(len(passages.first), int(head[-1]) + s.blocks + widest)
+        before = own.rare_words(words[bounds[low] : bounds[high]], passages.first[low:high] - bounds[low])
         enough = np.empty((len(head), len(own.ids)), bool)
         for reach in np.unique(own.reach):
             items = np.flatnonzero(own.reach == reach)
-            first = np.maximum(head - reach, starts[text])
-            last = np.minimum(head + s.blocks + reach, passages.ends[text])
+            first = np.maximum(head - reach, starts[text]) - low
+            last = np.minimum(head + s.blocks + reach, passages.ends[text]) - low
             enough[:, items] = before[last][:, items] - before[first][:, items] >= least[items]
         near = np.flatnonzero(enough.any(axis=1))
         cosine = space.vectors(passages, k + near) @ own.vectors.T
