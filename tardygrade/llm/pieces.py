@@ -36,10 +36,12 @@ NEVER = float("-inf")
 class PieceTable:
     """Vocabulary of one model with the prefix-table encoder.
 
-    ``memory`` bounds the encoded words, and the tested pairs, that a task remembers.
+    ``memory`` bounds the tested pairs, and half of the encoded words, that a worker remembers.
+    Words are kept in two halves, of which the older one is dropped when the newer one is full,
+    so that words that come often stay. With words of at most 64 letters the bound is about 110 MB.
     """
 
-    def __init__(self, model_path: str, memory: int = 3 << 18):
+    def __init__(self, model_path: str, memory: int = 1 << 18):
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         ids = range(model.get_piece_size())
         special = {i for i in ids if model.is_control(i) or model.is_unknown(i)}
@@ -49,19 +51,22 @@ class PieceTable:
         self.bos, self.eos = model.bos_id(), model.eos_id()
         self.memory = memory
 
-        self.automaton = ahocorasick.Automaton()
         # Letters of the vocabulary can be tokens until they merge; others never merge.
         self.letters = frozenset("".join(self.ids))
         self._token = ["", *sorted(self.letters.union(self.ids))]
         self._number = {token: k for k, token in enumerate(self._token)}
         self._packed_ids = [np.array(self._ids_of(token), "<i4").tobytes() for token in self._token]
+        self._size = [len(token) for token in self._token]
         self.automaton = ahocorasick.Automaton()
         for token, k in self._number.items():
             if token:
-                self.automaton.add_word(token, (k, len(token)))
+                self.automaton.add_word(token, (k, len(token), k << 24))
         self.automaton.make_automaton()
-        self._pairs: dict[int, bool] = {}
+        # Pairs, left << 24 | right, that were found to be compatible, and those that were not.
+        self._good: set[int] = set()
+        self._bad: set[int] = set()
         self._words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
         # A text can be cut where no token reaches across: before a space after
         # something else, and around line ends, if the vocabulary has no such token.
@@ -105,36 +110,36 @@ class PieceTable:
         """Whether ``left`` followed by ``right`` stays these two tokens; ``left`` may be empty."""
         return self.merge(left + right) == ([left, right] if left else [right])
 
-    def _fits(self, left: int, right: int) -> bool:
-        """``compatible`` by number, remembered."""
-        if len(self._pairs) >= self.memory:
-            self._pairs.clear()
-        fits = self.compatible(self._token[max(left, 0)], self._token[right])
-        self._pairs[left << 24 | right] = fits
+    def _fits(self, pair: int) -> bool:
+        """``compatible`` by numbers, remembered."""
+        if len(self._good) + len(self._bad) >= 4 * self.memory:
+            self._good.clear()
+            self._bad.clear()
+        fits = self.compatible(self._token[max(pair >> 24, 0)], self._token[pair & 0xFFFFFF])
+        (self._good if fits else self._bad).add(pair)
         return fits
 
     def _table(self, word: str) -> list[int]:
-        """The last token of each prefix by number; -1 is a letter that is in no token."""
+        """The last token of each prefix by number << 24; negative for a letter that is in no token."""
         last = [0] * (len(word) + 1)
         if not self.letters.issuperset(word):
             for k, letter in enumerate(word):
                 if letter not in self.letters:
-                    last[k + 1] = -1
-        pairs = self._pairs
-        for end, (token, size) in self.automaton.iter(word):
+                    last[k + 1] = -1 << 24
+        good, bad = self._good, self._bad
+        for end, (token, size, shifted) in self.automaton.iter(word):
             end += 1
             if not last[end]:
-                left = last[end - size]
-                fits = pairs.get(left << 24 | token)
-                if fits or (fits is None and self._fits(left, token)):
-                    last[end] = token
+                pair = last[end - size] | token
+                if pair in good or (pair not in bad and self._fits(pair)):
+                    last[end] = shifted
         return last
 
     def tokens(self, word: str) -> list[str]:
         """Tokens of a text; spaces are already escaped."""
         last, found, at = self._table(word), [], len(word)
         while at:
-            found.append(self._token[last[at]] if last[at] > 0 else word[at - 1])
+            found.append(self._token[last[at] >> 24] if last[at] > 0 else word[at - 1])
             at -= len(found[-1])
         return found[::-1]
 
@@ -142,19 +147,22 @@ class PieceTable:
         return [self.ids[token]] if token in self.ids else [self.byte_ids[b] for b in token.encode()]
 
     def _encode_word(self, word: str) -> bytes:
-        last, packed, at = self._table(word), [], len(word)
-        while at:
-            token = last[at]
-            if token > 0:
-                packed.append(self._packed_ids[token])
-                at -= len(self._token[token])
-            else:
-                packed.append(np.array(self._ids_of(word[at - 1]), "<i4").tobytes())
-                at -= 1
-        ids = b"".join(reversed(packed))
+        ids = self._older.get(word)
+        if ids is None:
+            last, packed, at = self._table(word), [], len(word)
+            while at:
+                token = last[at] >> 24
+                if token > 0:
+                    packed.append(self._packed_ids[token])
+                    at -= self._size[token]
+                else:
+                    packed.append(np.array(self._ids_of(word[at - 1]), "<i4").tobytes())
+                    at -= 1
+            packed.reverse()
+            ids = b"".join(packed)
         if len(word) <= 64:
             if len(self._words) >= self.memory:
-                self._words.clear()
+                self._older, self._words = self._words, {}
             self._words[word] = ids
         return ids
 
@@ -162,9 +170,9 @@ class PieceTable:
         """Ids of a text as little-endian 32-bit integers, without begin and end ids."""
         if not text:
             return b""
-        known = self._words.get
         words = self._cut(SPACE + text.replace(" ", SPACE))
-        return b"".join([known(word) or self._encode_word(word) for word in words])
+        # The halves change places in between, so the present one is asked for each time.
+        return b"".join([self._words.get(word) or self._encode_word(word) for word in words])
 
     # Decoding -----------------------------------------------------------------
 
