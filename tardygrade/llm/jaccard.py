@@ -129,6 +129,8 @@ def _keys_of_batches(s: Settings):
                     keys.append(band_keys(min_hashes(shingles, s.size), s) if len(shingles) else shingles)
                 lists = int_lists(np.concatenate([*keys, []]).astype(np.int64), map(len, keys))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["h1", "h2", "doc_id", "keys"])
+        # The worker may go on with another operator.
+        _WORD_HASHES.clear()
 
     return run
 
