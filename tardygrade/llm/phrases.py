@@ -49,7 +49,7 @@ class Settings:
     tile: int = 9
     grid: int = 6
     dense: int = 1 << 14
-    buffer: int = 1 << 20
+    buffer: int = 1 << 19
     block: int = 1 << 22
 
 

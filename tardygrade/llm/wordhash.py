@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 # Texts are hashed in parts of about so many bytes, which bounds the arrays in use.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 _SHORT = 64  # words of more bytes are hashed one by one
 _RANDOM = np.random.default_rng(4711).integers(0, 1 << 64, (2, 256), np.uint64) | np.uint64(1)
 
