@@ -325,8 +325,9 @@ class Items:
 
     @staticmethod
     def some(rows: list[tuple], space: LatentSpace) -> list[Items]:
-        """Items in groups of ``beside``; items without words are left out."""
+        """Items in groups of ``beside``, of like length; items without words are left out."""
         rows, size = [r for r in rows if r[1] and word_hashes(r[1])], space.s.beside
+        rows.sort(key=lambda r: len(word_hashes(r[1])))
         return [Items.of(rows[k : k + size], space) for k in range(0, len(rows), size)]
 
     def rare_words(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -367,10 +368,11 @@ def _candidates(words: np.ndarray, passages: Passages, own: Items, space: Latent
         before = own.rare_words(words[bounds[low] : bounds[high]], passages.first[low:high] - bounds[low])
         enough = np.empty((len(head), len(own.ids)), bool)
         for reach in np.unique(own.reach):
-            items = np.flatnonzero(own.reach == reach)
+            # Items of one reach are next to each other.
+            items = slice(*np.searchsorted(own.reach, [reach, reach + 1]))
             first = np.maximum(head - reach, starts[text]) - low
             last = np.minimum(head + s.blocks + reach, passages.ends[text]) - low
-            enough[:, items] = before[last][:, items] - before[first][:, items] >= least[items]
+            enough[:, items] = before[:, items][last] - before[:, items][first] >= least[items]
         near = np.flatnonzero(enough.any(axis=1))
         cosine = space.vectors(passages, k + near) @ own.vectors.T
         row, column = np.nonzero((cosine >= s.least_cosine) & enough[near][:, own.owner])
