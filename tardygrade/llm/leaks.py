@@ -298,6 +298,7 @@ class Items:
     base: np.ndarray
     sizes: np.ndarray
     reach: np.ndarray  # in blocks, to both sides of a passage
+    distinct: list[tuple[np.ndarray, np.ndarray]]  # words of each item and how often it has them
 
     @staticmethod
     def of(rows: list[tuple], space: LatentSpace) -> Items:
@@ -321,6 +322,7 @@ class Items:
         return Items(
             [r[0] for r in rows], words, [answer_of(t) for _, t in rows], owner, space.vectors(passages), vocabulary, known,
             (of_item, np.cumsum(np.bincount(of_word, minlength=len(vocabulary)))), base, sizes, -(-(sizes + s.block) // s.block),
+            [np.unique(np.array(x, np.int32), return_counts=True) for x in words],
         )
 
     @staticmethod
@@ -421,7 +423,7 @@ def _checked(words: np.ndarray, items: Items, item: int, cosines: np.ndarray, pl
     # Words that a region and the item have in common, each as often as both have it, bound the
     # subsequence; running numbers of each word give them for all regions at once.
     begin, end = int(low.min()), int(high.max())
-    distinct, times = np.unique(np.array(sought, words.dtype), return_counts=True)
+    distinct, times = items.distinct[item]
     upto = np.zeros((len(distinct), end - begin + 1), np.int32)
     np.cumsum(words[begin:end] == distinct[:, None], axis=1, out=upto[:, 1:])
     shared = np.minimum(upto[:, high - begin] - upto[:, low - begin], times[:, None]).sum(axis=0)
