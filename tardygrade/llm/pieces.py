@@ -33,15 +33,19 @@ REPLACEMENT = "�".encode()
 NEVER = float("-inf")
 
 
+# Encoded words that a worker remembers by default.
+MEMORY = 3 << 19
+
+
 class PieceTable:
     """Vocabulary of one model with the prefix-table encoder.
 
-    ``memory`` bounds the tested pairs, and half of the encoded words, that a worker remembers.
-    Words are kept in two halves, of which the older one is dropped when the newer one is full,
-    so that words that come often stay. With words of at most 64 letters the bound is about 110 MB.
+    ``memory`` bounds the encoded words that a worker remembers. They are kept in two halves, of
+    which the older one is dropped when the newer one is full, so that words that come often stay.
+    200 bytes a word are needed, and as much again in all for tested pairs.
     """
 
-    def __init__(self, model_path: str, memory: int = 1 << 18):
+    def __init__(self, model_path: str, memory: int = MEMORY):
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         ids = range(model.get_piece_size())
         special = {i for i in ids if model.is_control(i) or model.is_unknown(i)}
@@ -112,7 +116,7 @@ class PieceTable:
 
     def _fits(self, pair: int) -> bool:
         """``compatible`` by numbers, remembered."""
-        if len(self._good) + len(self._bad) >= 4 * self.memory:
+        if len(self._good) + len(self._bad) >= 2 * self.memory:
             self._good.clear()
             self._bad.clear()
         fits = self.compatible(self._token[max(pair >> 24, 0)], self._token[pair & 0xFFFFFF])
@@ -161,7 +165,7 @@ class PieceTable:
             packed.reverse()
             ids = b"".join(packed)
         if len(word) <= 64:
-            if len(self._words) >= self.memory:
+            if 2 * len(self._words) >= self.memory:
                 self._older, self._words = self._words, {}
             self._words[word] = ids
         return ids
@@ -209,20 +213,20 @@ def _is_character(raw: bytes) -> bool:
 
 
 @lru_cache(maxsize=2)
-def piece_table(model_path: str) -> PieceTable:
+def piece_table(model_path: str, memory: int = MEMORY) -> PieceTable:
     """The table of a model, built once in each Python worker."""
-    return PieceTable(model_path)
+    return PieceTable(model_path, memory)
 
 
 # Columns ----------------------------------------------------------------------
 
 
-def encoded(text: str | Column, model_path: str, bos: bool = True, eos: bool = True) -> Column:
+def encoded(text: str | Column, model_path: str, bos: bool = True, eos: bool = True, memory: int = MEMORY) -> Column:
     """Token ids of a text column as ``array<int>``."""
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        table = piece_table(model_path)
+        table = piece_table(model_path, memory)
         before = np.array([table.bos] * bos, "<i4").tobytes()
         after = np.array([table.eos] * eos, "<i4").tobytes()
         packed = [before + table.encode(text) + after for text in texts(column)]
@@ -231,12 +235,12 @@ def encoded(text: str | Column, model_path: str, bos: bool = True, eos: bool = T
     return encode(text)
 
 
-def decoded(ids: str | Column, model_path: str) -> Column:
+def decoded(ids: str | Column, model_path: str, memory: int = MEMORY) -> Column:
     """Texts of a column of token ids; null lists give the empty text."""
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        table = piece_table(model_path)
+        table = piece_table(model_path, memory)
         flat, ends = column.flatten().to_numpy(zero_copy_only=False), _bounds(column)
         return pa.array([table.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
 
@@ -260,6 +264,7 @@ def _bounds(column: pa.ListArray) -> list[int]:
     return [0, *np.cumsum(sizes).tolist()]
 
 
-def round_trip(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, model_path: str, text: str = "text", memory: int = MEMORY) -> DataFrame:
     """Adds ``ids`` (with begin and end ids) and ``decoded`` to every row."""
-    return df.withColumn("ids", encoded(text, model_path)).withColumn("decoded", decoded("ids", model_path))
+    coded = df.withColumn("ids", encoded(text, model_path, memory=memory))
+    return coded.withColumn("decoded", decoded("ids", model_path, memory))
