@@ -54,7 +54,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    # Workers of the stages before may still be there, so each remembers fewer words.
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), model, memory=1 << 18)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
