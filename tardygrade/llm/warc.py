@@ -10,7 +10,9 @@ is 0 below 16 MB, so the separator is this 0. A longer record is followed by an
 Reading. Archives are listed and cut into byte ranges, which are dealt to tasks. A task looks
 for the gzip magic in its range, decodes the beginning of each candidate and accepts it if a
 WARC header comes out; it owns the records that start inside and reads past its range to
-finish the last one. After an accepted member it goes on at the member's end.
+finish the last one. After an accepted member it goes on at the member's end, where the next
+one must begin, in this range or in the next. A member that is damaged or cut off raises, and
+so do bytes outside the members, so no record is lost without an error.
 
 Results. A null payload is empty. Rows with a null id never become the response of others,
 unless all ids of a payload are null; of rows that share the largest id all are responses.
@@ -155,7 +157,7 @@ class _Bytes:
         path = re.sub("^file:/+", "file:///", path)
         system, inside = pyarrow.fs.FileSystem.from_uri(path)
         self.file = system.open_input_file(unquote(inside) if path.startswith("file:") else inside)
-        self.base, self.chunk, self.data = start, chunk, b""
+        self.path, self.base, self.chunk, self.data = path, start, chunk, b""
         self.file.seek(start)
 
     def upto(self, place: int) -> bool:
@@ -187,35 +189,67 @@ class _Bytes:
         self.base = place
 
 
-def members(path: str, start: int, stop: int, s: Settings = Settings()) -> Iterator[bytes]:
-    """The records whose gzip member begins in ``[start, stop)``."""
+def members(path: str, start: int, stop: int, s: Settings = Settings(), whole: bool = False) -> Iterator[bytes]:
+    """The records whose gzip member begins in ``[start, stop)``.
+
+    A member that begins as a record but does not decode to its end raises. With ``whole``
+    the file must consist of gzip members alone: whatever lies between them raises as well.
+    The member after the last one is then looked at even beyond ``stop``, so that a member
+    whose beginning is damaged is missed by the range before, if not by its own.
+    """
     source = _Bytes(path, start, s.chunk_bytes)
-    at = source.find(MAGIC, start, stop)
-    while at is not None:
+    at = 0 if whole and start == 0 else source.find(MAGIC, start, stop)
+    # Whether a member must begin at ``at``.
+    expected = whole and start == 0
+    while at is not None and at < stop:
         raw, size = _decoded(source, at, s)
         if raw is not None and raw.startswith(VERSION):
             yield raw
-        at = source.find(MAGIC, at + (1 if raw is None else size), stop)
-
-
-def _decoded(source: _Bytes, at: int, s: Settings) -> tuple[bytes | None, int]:
-    """The content and size of the member at ``at``; no content if it is none with a WARC header."""
+        if whole and raw is not None:
+            expected, at = True, at + size
+            if not source.upto(at + 1):
+                return
+        elif expected:
+            raise ValueError(f"no gzip member at byte {at} of {path}")
+        else:
+            at = source.find(MAGIC, at + (1 if raw is None else size), stop)
+    if expected and at is not None:
+        raw, _ = _decoded(source, at, s, begin=True)
+        if raw is None:
+            raise ValueError(f"no gzip member at byte {at} of {path}")
+
+
+def _decoded(source: _Bytes, at: int, s: Settings, begin: bool = False) -> tuple[bytes | None, int]:
+    """The content and size of the member at ``at``; no content if there is none.
+
+    Of a member that holds no record the content is cut to its beginning. ``begin`` stops
+    as soon as a record has begun.
+    """
     source.drop(at)
-    z, out, used = zlib.decompressobj(31), [], 0
-    checked = False
-    while not z.eof:
-        if used == len(source.data) and not source.upto(at + used + 1):
-            return None, 1
-        piece = source.data[used:]
-        used += len(piece)
+    z, out, used, length, piece = zlib.decompressobj(31), [], 0, 0, b""
+    is_record = None
+    while not z.eof and not (is_record and begin):
+        if not piece:
+            if used == len(source.data) and not source.upto(at + used + 1):
+                if is_record:
+                    raise ValueError(f"the record at byte {at} of {source.path} is cut off")
+                return None, 1
+            piece = source.data[used:]
+            used += len(piece)
+        # The first bytes are decoded alone, so what counts as a record does not depend on the chunks.
+        most = len(VERSION) - length if is_record is None else 0
         try:
-            out.append(z.decompress(piece))
-        except zlib.error:
+            more = z.decompress(piece, most)
+        except zlib.error as damage:
+            if is_record:
+                raise ValueError(f"the record at byte {at} of {source.path} is damaged") from damage
             return None, 1
-        if not checked and sum(map(len, out)) >= len(VERSION):
-            out, checked = [b"".join(out)], True
-            if not out[0].startswith(VERSION):
-                return None, 1
+        piece = z.unconsumed_tail
+        length += len(more)
+        if is_record is not False:
+            out.append(more)
+        if is_record is None and length >= len(VERSION):
+            is_record = b"".join(out) == VERSION
     return b"".join(out), used - len(z.unused_data)
 
 
@@ -262,7 +296,7 @@ def read_archives(spark: SparkSession, path: str, s: Settings = Settings(), payl
         for batch in batches:
             for r in batch.to_pylist():
                 rows, size = [], 0
-                for raw in members(r["path"], r["start"], r["stop"], s):
+                for raw in members(r["path"], r["start"], r["stop"], s, whole=True):
                     row = parsed(raw)
                     if not payloads:
                         row["payload"] = None

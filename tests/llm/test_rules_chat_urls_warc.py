@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,46 @@ def test_best_split():
     assert urls.best_split("", {}, -9.0) == []
 
 
+def every_split(name):
+    for k in range(len(name) + 1 if not name else 1, len(name) + 1):
+        for rest in every_split(name[k:]):
+            yield [name[:k], *rest]
+    if not name:
+        yield []
+
+
+def test_best_split_is_the_most_probable():
+    choose = random.Random(5)
+    for _ in range(60):
+        name = "".join(choose.choices("ab", k=choose.randint(1, 9)))
+        places = [(a, n) for a in range(len(name)) for n in range(1, len(name) - a + 1)]
+        known = {p: -choose.uniform(1, 9) for p in choose.sample(places, min(len(places), 8))}
+        unknown = -6.5
+
+        def value(words):
+            at, total = 0, 0.0
+            for word in words:
+                total += max(known.get((at, len(word)), -1e9), unknown * len(word))
+                at += len(word)
+            return total
+
+        found = urls.best_split(name, known, unknown)
+        assert "".join(found) == name
+        assert abs(value(found) - max(map(value, every_split(name)))) < 1e-9
+
+
+def test_long_names(spark):
+    began = time.perf_counter()
+    assert urls.best_split("q" * 100_000, {}, -9.0) == ["q" * 100_000]
+    known = {(k, 3): -2.0 for k in range(0, 100_000 - 3, 3)}
+    assert len(urls.best_split("abc" * 33_333, known, -9.0)) == 33_333
+    assert time.perf_counter() - began < 1.5
+    rows = [(1, "http://a.example.org/en/" + "treehouse" * 3_000, "tree house"), (2, None, None)]
+    found = urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    words = {r["page_id"]: r["words"] for r in found}[1]
+    assert {"tree", "house"} <= set(words) and "treehouse" not in words
+
+
 # Archives -----------------------------------------------------------------------
 
 
@@ -199,3 +240,60 @@ def test_members_are_plain_gzip(tmp_path):
         found = [m for a in range(0, min(size, 400), step) for m in warc.members(f"file:{path}", a, min(size, a + step), warc.Settings(chunk_bytes=50))]
         assert found[0] == raw, step
         assert sum(m == raw for m in found) == 1
+
+
+def _archive(n=6):
+    bodies = [f"payload {k} ".encode() * 40 for k in range(n)]
+    raws = [warc.record(k, f"http://a.org/{k}", b, warc.payload_digest(b), None, False, warc.Settings()) for k, b in enumerate(bodies)]
+    parts = [warc.member(raw, 6) for raw in raws]
+    return raws, parts
+
+
+def _all_ranges(path, size, step):
+    s = warc.Settings(chunk_bytes=64)
+    return [m for a in range(0, size, step) for m in warc.members(f"file:{path}", a, min(size, a + step), s, whole=True)]
+
+
+@pytest.mark.parametrize("step", [40, 170, 1 << 20])
+def test_damage_anywhere_raises(tmp_path, step):
+    raws, parts = _archive(4)
+    blob = b"".join(parts)
+    path = tmp_path / "a.gz"
+    path.write_bytes(blob)
+    assert _all_ranges(path, len(blob), step) == raws
+    for at in range(0, len(blob), 5):
+        path.write_bytes(blob[:at] + bytes([blob[at] ^ 0x55]) + blob[at + 1 :])
+        # Flags, time and system of a gzip header carry no content and are not all checked by gzip.
+        try:
+            found = _all_ranges(path, len(blob), step)
+        except ValueError:
+            continue
+        assert found == raws, at
+
+
+@pytest.mark.parametrize("step", [40, 170, 1 << 20])
+def test_truncation_raises(tmp_path, step):
+    raws, parts = _archive(4)
+    blob, ends = b"".join(parts), {0}
+    for part in parts:
+        ends.add(max(ends) + len(part))
+    path = tmp_path / "a.gz"
+    for size in range(1, len(blob), 3):
+        path.write_bytes(blob[:size])
+        if size in ends:
+            assert _all_ranges(path, size, step) == raws[: sorted(ends).index(size)]
+        else:
+            try:
+                found = _all_ranges(path, size, step)
+            except ValueError:
+                continue
+            # Only the empty member that pads a record can be cut without loss.
+            assert found == raws[: len(found)] and len(b"".join(parts[: len(found)])) - size < 20
+
+
+def test_damaged_archives_stop_the_reader(spark, tmp_path):
+    raws, parts = _archive()
+    parts[2] = parts[2][:60] + bytes([parts[2][60] ^ 1]) + parts[2][61:]
+    (tmp_path / "a.gz").write_bytes(b"".join(parts))
+    with pytest.raises(Exception, match="is damaged|no gzip member"):
+        warc.read_archives(spark, str(tmp_path)).count()
