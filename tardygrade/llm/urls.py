@@ -10,6 +10,9 @@ themselves, of which those with a word of ``SEEDS`` count as examples to block.
 Word counts, splits and scores are joins and aggregations: names are split once each,
 however many urls have them, and a frequent host or word is counted before it is shuffled.
 
+Names of any length are split whole; very long names and texts cost time in proportion to
+their length. Further columns of ``pages`` are ignored, whatever their names.
+
 Results. Null urls, and urls without ``://``, have an empty host and path and no words, so
 no rule fits and they are allowed. Repeated rows get equal verdicts.
 """
@@ -91,26 +94,28 @@ def best_split(name: str, known: dict[tuple[int, int], float], unknown: float) -
     """Most probable words of a name; ``known`` has log-probabilities by start and length.
 
     A letter outside known words costs ``unknown`` and joins its neighbours in one word.
+    Time grows with the length of the name times that of the longest known word in it.
     """
+    longest = max((length for _, length in known), default=0)
     best = [(0.0, 0, False)] + [(-math.inf, 0, False)] * len(name)
     for start in range(len(name)):
         score = best[start][0]
         if score + unknown > best[start + 1][0]:
             best[start + 1] = (score + unknown, start, False)
-        for length in range(1, len(name) - start + 1):
+        for length in range(1, min(longest, len(name) - start) + 1):
             own = known.get((start, length))
             if own is not None and score + own > best[start + length][0]:
                 best[start + length] = (score + own, start, True)
-    words, end, rest = [], len(name), ""
+    words, end = [], len(name)
+    # Where the unknown letters end that begin at ``end``.
+    until = end
     while end:
         _, start, is_known = best[end]
         if is_known:
-            words += [rest, name[start:end]] if rest else [name[start:end]]
-            rest = ""
-        else:
-            rest = name[start:end] + rest
+            words += [name[end:until], name[start:end]] if until > end else [name[start:end]]
+            until = start
         end = start
-    return ([*words, rest] if rest else words)[::-1]
+    return ([*words, name[:until]] if until else words)[::-1]
 
 
 def word_counts(pages: DataFrame, text: str, s: Settings) -> DataFrame:
