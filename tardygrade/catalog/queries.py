@@ -30,7 +30,7 @@ from ..operators import evaluate, history, models, prepare, quality, report, sil
 from ..operators.history import ALL_ENTITIES, DAY_ENTITIES, Context, Entity
 from ..plans import features
 from ..session import materialize, shared_folder
-from ..sources import event_trips, read_table, table_shapes, trips
+from ..sources import event_trips, identity, read_table, table_shapes, trips
 
 P = TEST_TABLES
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,12 +75,17 @@ def _plain(df: DataFrame, rounded: Sequence[str]) -> DataFrame:
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, str]:
+    """Session, input and name of something kept; files that change make it another input."""
+    return (spark.sparkContext.applicationId, identity(spark, sf_dir), name)
+
+
 def _stored(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame:
     """A stage table, built and written once per session; later stages read the written table.
 
     Rebalancing makes its files even, however few tasks the build ended in.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = _key(spark, sf_dir, name)
     if key not in _STORED:
         _STORED[key] = materialize(build(spark, sf_dir).hint("rebalance"), name)
     return _STORED[key]
@@ -745,7 +750,7 @@ def _model(spark: SparkSession, sf_dir: str, kind: str, first: bool = False) ->
 
     The sample bounds the rows only; ``first`` chooses the inputs and settings of the first models.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, f"{kind}{1 if first else 2}")
+    key = _key(spark, sf_dir, f"{kind}{1 if first else 2}")
     if key not in _MODELS:
         table = split.freq_encode(_stored_features(spark, sf_dir)) if first else _stored_features(spark, sf_dir)
         train = materialize(split.exact_sample(split.part_of(table, "train"), LABELLED_ROWS), "sample")
@@ -794,7 +799,9 @@ def _(spark, sf_dir):
     """Test scores of a model that was saved and loaded again, beside those of the original."""
     _, _, test = _parts(spark, sf_dir)
     model = _model(spark, sf_dir, "forest")
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/model"
+    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/models"
+    made_from = {"input": identity(spark, sf_dir), "rows": LABELLED_ROWS, "columns": MODEL_FEATURES_V2}
+    path = models.artefact_path(base, "forest", **made_from, **models.FINAL["forest"])
     models.save(model, path)
     both = models.score(models.load(path), models.score(model, test, "original"), "reloaded")
     return both.select("fl_date", "route", "original", "reloaded")

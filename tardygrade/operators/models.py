@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 from typing import Any
 
@@ -112,6 +114,15 @@ def _session():
     return SparkSession.active()
 
 
+def artefact_path(base: str, kind: str, **made_from: Any) -> str:
+    """A folder for a model below ``base``, named after its kind and what it was made from.
+
+    Models of other inputs, columns or settings have other folders, so none overwrites another.
+    """
+    told = json.dumps([kind, made_from], sort_keys=True, default=str)
+    return f"{base.rstrip('/')}/{kind}-{hashlib.sha256(told.encode()).hexdigest()[:32]}"
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

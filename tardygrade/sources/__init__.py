@@ -15,10 +15,13 @@ from .tables import (
     write_table,
 )
 from .trips import event_trips, trips
+from .versions import current_path, identity
 
 __all__ = [
+    "current_path",
     "drop_table",
     "event_trips",
+    "identity",
     "load_json",
     "read_between",
     "read_table",

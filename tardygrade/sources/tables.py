@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .versions import current_path, replace
+
 MONTH_PARTITION = "part_month"
 
 
@@ -19,12 +21,12 @@ def table_path(base: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, base: str, name: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """A named table under ``base``, without the month column that only lays out its files.
+    """The current version of a named table under ``base``, without the month column that only lays out its files.
 
     A given schema saves the job that would read it from a file footer.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(table_path(base, name)).drop(MONTH_PARTITION)
+    return reader.parquet(current_path(spark, table_path(base, name))).drop(MONTH_PARTITION)
 
 
 def read_between(
@@ -35,7 +37,7 @@ def read_between(
 
     The bounds are also put on the month folders, so that other months are not read.
     """
-    df = spark.read.parquet(table_path(base, name))
+    df = spark.read.parquet(current_path(spark, table_path(base, name)))
     month = F.col(MONTH_PARTITION)
     if since is not None:
         df = df.filter((F.col(date_col) >= F.lit(since)) & (month >= since.year * 100 + since.month))
@@ -45,24 +47,26 @@ def read_between(
 
 
 def write_table(df: DataFrame, base: str, name: str, month_of: str | None = None) -> str:
-    """Overwrite a named table, its schema included, and return its path.
+    """Replace a named table, its schema included, and return its path.
+
+    Until the new rows are complete the old ones stay, so a table may also be computed from
+    itself, and a write that fails changes nothing; see ``versions``.
 
     With ``month_of`` the files are laid out by the month of that date column. The
     rebalance step lets adaptive execution split a large month over several tasks
     and merge small ones, so neither a hot month nor many tiny files arise.
     """
     path = table_path(base, name)
-    if month_of is None:
-        df.write.mode("overwrite").parquet(path)
-    else:
-        month = (F.year(month_of) * 100 + F.month(month_of)).alias(MONTH_PARTITION)
-        (
-            df.select("*", month)
-            .hint("rebalance", MONTH_PARTITION)
-            .write.mode("overwrite")
-            .partitionBy(MONTH_PARTITION)
-            .parquet(path)
-        )
+
+    def write(folder: str) -> None:
+        if month_of is None:
+            df.write.parquet(folder)
+        else:
+            month = (F.year(month_of) * 100 + F.month(month_of)).alias(MONTH_PARTITION)
+            laid_out = df.select("*", month).hint("rebalance", MONTH_PARTITION)
+            laid_out.write.partitionBy(MONTH_PARTITION).parquet(folder)
+
+    replace(df.sparkSession, path, write)
     return path
 
 
@@ -80,10 +84,11 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 def table_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Format, number of files, bytes and rows of a Parquet table.
+    """Format, number of files, bytes and rows of a Parquet table, of its current version.
 
     Files are listed without reading them; rows come from the Parquet footers.
     """
+    path = current_path(spark, path)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -8,8 +8,8 @@ from tardygrade.operators import evaluate, models, split
 from tardygrade.plans import features, medallion
 from tardygrade.session import materialize, shared_folder
 from tardygrade.sources import (
-    drop_table, load_json, read_between, read_table, rows_frame, save_json, table_exists, table_path, table_profile,
-    table_shapes, trips, write_catalog_table, write_table,
+    current_path, drop_table, identity, load_json, read_between, read_table, rows_frame, save_json, table_exists,
+    table_path, table_profile, table_shapes, trips, write_catalog_table, write_table,
 )
 
 SMALL = {"numTrees": 10, "maxDepth": 5}
@@ -67,6 +67,68 @@ def test_tables(spark, sf, tmp_path):
     assert shapes["x"] == (source.count(), len(source.columns))
 
 
+def test_a_failed_write_keeps_the_old_rows(spark, tmp_path):
+    base = str(tmp_path)
+    old = rows_frame(spark, [("2000-01-01", 1), ("2000-02-01", 2)], "day string, n int").selectExpr("cast(day AS date) AS day", "n")
+    for month_of in (None, "day"):
+        name = f"table_{month_of}"
+        path = table_path(base, name)
+        write_table(old, base, name, month_of)
+        bad = old.selectExpr("day", "n", "IF(n = 2, raise_error('broken'), 0) AS extra")
+        with pytest.raises(Exception, match="broken"):
+            write_table(bad, base, name, month_of)
+        assert sorted(read_table(spark, base, name).collect()) == sorted(old.collect())
+        # What the failed write had begun is gone, and a folder without a marker is not read.
+        assert len([f for f in (tmp_path / f"{name}.parquet").iterdir() if f.name.startswith("data-")]) == 1
+        old.write.parquet(f"{path}/data-lost")
+        assert read_table(spark, base, name).count() == 2
+
+
+def test_versions(spark, tmp_path):
+    base = str(tmp_path)
+    path = table_path(base, "t")
+    one = rows_frame(spark, [(1,)], "n int")
+    # A table without versions is replaced by one with them.
+    one.write.parquet(path)
+    write_table(read_table(spark, base, "t").selectExpr("n + 1 AS n"), base, "t")
+    reading = read_table(spark, base, "t")
+    # A table computed from itself; whoever reads the version before goes on reading it.
+    write_table(reading.selectExpr("n + 1 AS n", "'x' AS more"), base, "t")
+    assert reading.collect() == [(2,)]
+    assert read_table(spark, base, "t").collect() == [(3, "x")]
+    for n in range(4, 13):
+        write_table(rows_frame(spark, [(n,)], "n int"), base, "t")
+        assert read_table(spark, base, "t").collect() == [(n,)]
+    assert sorted(f.name.split("-")[0] for f in (tmp_path / "t.parquet").iterdir()) == ["_versions", "data", "data"]
+    assert table_profile(spark, path).first()["n_rows"] == 1
+    assert current_path(spark, table_path(base, "none")) == table_path(base, "none")
+
+
+def test_models_of_two_inputs_lie_apart(spark, parts, tmp_path):
+    train, _, test = parts
+    fitted = {}
+    for half in (0, 1):
+        rows = train.filter(F.expr(f"pmod(xxhash64(route), 2) = {half}"))
+        model = models.fit(rows, MODEL_FEATURES_V2, "forest", **SMALL)
+        path = models.artefact_path(str(tmp_path), "forest", half=half, **SMALL)
+        assert path == models.artefact_path(str(tmp_path), "forest", **SMALL, half=half)
+        models.save(model, path)
+        fitted[path] = model
+    assert len(fitted) == 2
+    for path, model in fitted.items():
+        both = models.score(models.load(path), models.score(model, test, "a"), "b")
+        assert both.filter("a IS DISTINCT FROM b").count() == 0
+
+
+def test_identity_follows_the_files(spark, tmp_path):
+    base = str(tmp_path)
+    first = identity(spark, base)
+    rows_frame(spark, [(1,)], "n int").write.parquet(f"{base}/t")
+    second = identity(spark, base)
+    rows_frame(spark, [(2,)], "n int").write.mode("overwrite").parquet(f"{base}/t")
+    assert len({first, second, identity(spark, base)}) == 3
+
+
 def test_catalog_tables(spark, tmp_path):
     name = "tardygrade_catalog_test"
     drop_table(spark, name)
