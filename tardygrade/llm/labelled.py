@@ -27,7 +27,9 @@ def labelled_sample(
     ``allowed`` is a condition on ``doc_id``; rows that fail it, or whose doc_id or label is
     null, are not seen. Rows are chosen by a hash of their doc_id, so the choice depends
     neither on the layout nor on the order of the input. A document labelled twice counts
-    with its larger label. The chosen ids are at most the bound, hence broadcast.
+    with its larger label. The chosen ids are at most the bound, hence broadcast. Of several
+    rows with one id the one whose text has the least hash is taken, so the bound holds for
+    rows too; copies of one id are reduced before the shuffle.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & allowed)
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -37,4 +39,6 @@ def labelled_sample(
         part = known.filter(F.col("label") == value).orderBy(*order).limit(bound)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select("doc_id", F.coalesce(*text, F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text")))
+    return found.groupBy("doc_id", "label").agg(one.alias("text"))

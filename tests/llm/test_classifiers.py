@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tardygrade.llm import quality, toxicity
 from tardygrade.llm.common import crc_fold, fold_of
+from tardygrade.llm.labelled import labelled_sample
 
 SMALL = toxicity.Settings(rows=(200, 120), steps=150, hidden=6, word_dim=6, char_dim=6, attention=6)
 BAD = ["idiot", "moron", "loser", "scum"]
@@ -116,3 +117,14 @@ def test_quality_on_held_out_texts(spark, tables):
 def test_folds(spark):
     df = spark.createDataFrame([(k,) for k in (0, 7, 123456, -5)], "doc_id long").withColumn("f", crc_fold("doc_id", 5))
     assert all(r["f"] == fold_of(r["doc_id"], 5) for r in df.collect())
+
+
+def test_a_repeated_id_counts_once(spark):
+    rows = [(1, f"text {k % 7}") for k in range(500)] + [(2, "b"), (2, None), (3, "c"), (None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1), (9, 1)], "doc_id long, toxic int")
+    chosen = labelled_sample(docs, labels, "toxic", F.lit(True), {0: 5, 1: 5})
+    found = sorted((r["doc_id"], r["label"], r["text"]) for r in chosen.select("doc_id", "label", "text").collect())
+    assert [r[:2] for r in found] == [(1, 1), (2, 0)]
+    again = labelled_sample(docs.repartition(3, "text"), labels, "toxic", F.lit(True), {0: 5, 1: 5})
+    assert found == sorted((r["doc_id"], r["label"], r["text"]) for r in again.select("doc_id", "label", "text").collect())
