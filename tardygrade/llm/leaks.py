@@ -298,7 +298,8 @@ class Items:
     base: np.ndarray
     sizes: np.ndarray
     reach: np.ndarray  # in blocks, to both sides of a passage
-    distinct: list[tuple[np.ndarray, np.ndarray]]  # words of each item and how often it has them
+    width: int  # words in a block
+    times: np.ndarray  # how often each item has each word of the vocabulary, and any other
 
     @staticmethod
     def of(rows: list[tuple], space: LatentSpace) -> Items:
@@ -318,11 +319,11 @@ class Items:
         base = np.where(frequent, counts, 0).sum(axis=0)
         of_word, of_item = np.nonzero((counts > 0) & ~frequent)
         known = np.zeros(1 << 16, bool)
-        known[vocabulary[np.unique(of_word)] & 0xFFFF] = True
+        known[vocabulary & 0xFFFF] = True
         return Items(
             [r[0] for r in rows], words, [answer_of(t) for _, t in rows], owner, space.vectors(passages), vocabulary, known,
-            (of_item, np.cumsum(np.bincount(of_word, minlength=len(vocabulary)))), base, sizes, -(-(sizes + s.block) // s.block),
-            [np.unique(np.array(x, np.int32), return_counts=True) for x in words],
+            (of_item, np.cumsum(np.bincount(of_word, minlength=len(vocabulary)))), base, sizes, -(-(sizes + s.block) // s.block), s.block,
+            np.r_[counts, np.zeros((1, len(words)), np.int32)].T.copy(),
         )
 
     @staticmethod
@@ -332,13 +333,20 @@ class Items:
         rows.sort(key=lambda r: len(word_hashes(r[1])))
         return [Items.of(rows[k : k + size], space) for k in range(0, len(rows), size)]
 
-    def rare_words(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Running numbers of rare words of each item before each block; blocks begin at ``first``."""
+    def numbered(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word in the vocabulary; its size for other words."""
+        found = np.full(len(words), len(self.vocabulary), np.int32)
         at = np.flatnonzero(self.known[words & 0xFFFF])
         number = np.minimum(np.searchsorted(self.vocabulary, words[at]), len(self.vocabulary) - 1)
         inside = self.vocabulary[number] == words[at]
-        at, number = at[inside], number[inside]
+        found[at[inside]] = number[inside]
+        return found
+
+    def rare_words(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Running numbers of rare words of each item before each block; blocks begin at ``first``."""
         items, ends = self.rare
+        at = np.flatnonzero(np.diff(ends, prepend=0, append=ends[-1])[numbers])
+        number = numbers[at]
         times = np.diff(ends, prepend=0)[number]
         # The items of each word found, one after the other.
         shift = np.repeat(ends[number] - np.cumsum(times), times)
@@ -346,42 +354,66 @@ class Items:
         block = np.searchsorted(first, np.repeat(at, times), "right")
         shape = len(first) + 1, len(self.ids)
         found = np.bincount(block * shape[1] + item, minlength=shape[0] * shape[1]).reshape(shape)
-        return np.cumsum(found, axis=0, dtype=np.int32)
+        # Differences of running numbers may wrap around, as long as they fit themselves.
+        fits = self.most < 1 << 16
+        return np.cumsum(found.astype(np.uint16 if fits else np.uint32), axis=0, dtype=np.uint16 if fits else np.uint32)
+
+    @property
+    def most(self) -> int:
+        """Words in the widest region around a passage, taken twice as a margin."""
+        return 2 * self.width * (2 * int(self.reach.max()) + 8)
 
 
 HITS = "cosine double, common double, answer double, first_word int, last_word int, h1 long, h2 long"
 
 
-def _candidates(words: np.ndarray, passages: Passages, own: Items, space: LatentSpace) -> Iterator[tuple]:
+def _candidates(words: np.ndarray, sizes: np.ndarray, passages: Passages, own: Items, space: LatentSpace) -> Iterator[tuple]:
     """(text, item, cosines, places) of pairs with passages that are near and may have enough words in common.
 
-    The bound on words is the cheaper test, so cosines are computed for passages that pass it.
+    Two bounds on words are the cheaper tests, so cosines are computed for places that pass them.
+    The cosine of a place is that of the item's nearest passage.
     """
     s = space.s
+    numbers = own.numbered(words)
     bounds, widest = np.r_[passages.first, len(words)], int(own.reach.max())
-    least = s.least_common * own.sizes - own.base
+    least = np.maximum(np.ceil(s.least_common * own.sizes - own.base - 1e-9), 0)
     starts = np.r_[0, passages.ends[:-1]]
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for k in range(0, len(passages.heads), 4096):
         head = passages.heads[k : k + 4096]
         text = passages.owner[head]
         # Blocks that these passages reach.
         low, high = max(0, int(head[0]) - widest), min(len(passages.first), int(head[-1]) + s.blocks + widest)
-        before = own.rare_words(words[bounds[low] : bounds[high]], passages.first[low:high] - bounds[low])
+        before = own.rare_words(numbers[bounds[low] : bounds[high]], passages.first[low:high] - bounds[low])
         enough = np.empty((len(head), len(own.ids)), bool)
         for reach in np.unique(own.reach):
             # Items of one reach are next to each other.
             items = slice(*np.searchsorted(own.reach, [reach, reach + 1]))
             first = np.maximum(head - reach, starts[text]) - low
             last = np.minimum(head + s.blocks + reach, passages.ends[text]) - low
-            enough[:, items] = before[:, items][last] - before[:, items][first] >= least[items]
-        near = np.flatnonzero(enough.any(axis=1))
-        cosine = space.vectors(passages, k + near) @ own.vectors.T
-        row, column = np.nonzero((cosine >= s.least_cosine) & enough[near][:, own.owner])
-        found.append((text[near[row]], own.owner[column], cosine[row, column], passages.word[head[near[row]]]))
-    text, item, cosine, place = (np.concatenate(x) for x in zip(*found))
+            own_before = before[:, items]
+            enough[:, items] = own_before[last] - own_before[first] >= least[items].astype(before.dtype)
+        row, column = np.nonzero(enough)
+        found.append((k + row, column))
+    row, item = (np.concatenate(x) for x in zip(*found))
+    text = passages.owner[passages.heads[row]]
     order = np.lexsort((item, text))
-    text, item, cosine, place = text[order], item[order], cosine[order], place[order]
+    row, item, text = row[order], item[order], text[order]
+    place = passages.word[passages.heads[row]]
+    keep = _enough_in_common(numbers, sizes, own, text, item, place, s)
+    row, item, text, place = row[keep], item[keep], text[keep], place[keep]
+    near, of_near = np.unique(row, return_inverse=True)
+    vectors, cosine = space.vectors(passages, near), np.empty(len(row))
+    first = np.searchsorted(own.owner, item)
+    times = np.searchsorted(own.owner, item, "right") - first
+    for k in range(0, len(row), 4096):
+        some = slice(k, k + 4096)
+        ends = np.cumsum(times[some])
+        own_passage = np.arange(ends[-1]) + np.repeat(first[some] - (ends - times[some]), times[some])
+        each = np.einsum("ij,ij->i", np.repeat(vectors[of_near[some]], times[some], axis=0), own.vectors[own_passage])
+        cosine[some] = np.maximum.reduceat(each, ends - times[some])
+    keep = cosine >= s.least_cosine
+    text, item, cosine, place = text[keep], item[keep], cosine[keep], place[keep]
     edges = np.r_[0, np.flatnonzero(np.diff(text) | np.diff(item)) + 1, len(text)] if len(text) else []
     for a, z in zip(edges, edges[1:]):
         yield int(text[a]), int(item[a]), cosine[a:z], place[a:z]
@@ -399,7 +431,7 @@ def _search(space, items, id_kind: pa.DataType, item_kind: pa.DataType):
             ids, h1, h2 = (batch.column(k) for k in (0, 2, 3))
             rows = []
             for own in items.value:
-                for text, item, *found in _candidates(words, passages, own, latent):
+                for text, item, *found in _candidates(words, sizes, passages, own, latent):
                     hit = _checked(words[starts[text] : starts[text] + sizes[text]], own, item, *found, s)
                     if hit:
                         # The best passage of the match, which need not be the one that led to its bounds.
@@ -413,23 +445,67 @@ def _search(space, items, id_kind: pa.DataType, item_kind: pa.DataType):
     return run
 
 
+def _region(places: np.ndarray, text_size, item_size, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The words around passages that are compared with an item."""
+    width = item_size + s.block
+    return np.maximum(0, places - width), np.minimum(text_size, places + s.block * s.blocks + width)
+
+
+def _enough_in_common(
+    numbers: np.ndarray, sizes: np.ndarray, own: Items, text: np.ndarray, item: np.ndarray, places: np.ndarray, s: Settings
+) -> np.ndarray:
+    """Whether the region of each (text, item, place) has ``least_common`` of the item's words, each as often as both have it.
+
+    This bounds the subsequence. Rows are in order of text and item. A word of a region counts if
+    the item has it and fewer than the item's number of the same words stand before it in the region.
+    """
+    keep = np.zeros(len(text), bool)
+    least = s.least_common * own.sizes
+    low, high = _region(places, sizes[text], own.sizes[item], s)
+    shift = (np.cumsum(sizes) - sizes)[text]
+    low, high = low + shift, high + shift
+    pair = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(item) != 0)]) if len(text) else np.empty(0, np.int64)
+    begin, end = (f.reduceat(x, pair) if len(pair) else x for f, x in ((np.minimum, low), (np.maximum, high)))
+    of_pair = np.repeat(np.arange(len(pair)), np.diff(np.r_[pair, len(text)]))
+    # As many pairs at a time as have some hundred thousand words.
+    part = np.cumsum(end - begin) >> 18
+    for chosen in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(part)) + 1) if len(pair) else ():
+        spans = (end - begin)[chosen]
+        at = np.arange(spans.sum()) + np.repeat(begin[chosen] - (np.cumsum(spans) - spans), spans)
+        times = own.times[np.repeat(item[pair[chosen]], spans), numbers[at]]
+        there = np.flatnonzero(times)
+        at, times = at[there], times[there]
+        group = np.repeat(np.arange(len(chosen)), spans)[there]
+        # For each word found, the place of the one that it would displace.
+        key = group * np.int64(len(own.vocabulary) + 1) + numbers[at]
+        order = np.argsort(key, kind="stable")
+        ahead = np.arange(len(at)) - times[order]
+        same = (ahead >= 0) & (key[order] == key[order][np.maximum(ahead, 0)])
+        displaced = np.full(len(at), -1)
+        displaced[order] = np.where(same, at[order][np.maximum(ahead, 0)], -1)
+        rows = slice(pair[chosen[0]], pair[chosen[-1] + 1] if chosen[-1] + 1 < len(pair) else len(text))
+        # The words found in each region, one after the other.
+        place = group * np.int64(len(numbers) + 1) + at
+        base = (of_pair[rows] - chosen[0]) * np.int64(len(numbers) + 1)
+        first, last = np.searchsorted(place, base + low[rows]), np.searchsorted(place, base + high[rows])
+        for k in range(0, len(first), 4096):
+            some = slice(k, k + 4096)
+            inside = last[some] - first[some]
+            found = np.arange(inside.sum()) + np.repeat(first[some] - (np.cumsum(inside) - inside), inside)
+            counts = displaced[found] < np.repeat(low[rows][some], inside)
+            total = np.r_[0, np.cumsum(counts)]
+            ends = np.cumsum(inside)
+            keep[rows][some] = total[ends] - total[ends - inside] >= least[item[rows][some]]
+    return keep
+
+
 def _checked(words: np.ndarray, items: Items, item: int, cosines: np.ndarray, places: np.ndarray, s: Settings) -> tuple | None:
-    """Shares in common and bounds of the best of an item's candidate places in a text that passes both checks."""
+    """Shares in common and bounds of the best of an item's places in a text that passes both checks."""
     sought, answer = items.words[item], items.answers[item]
-    width, least = len(sought) + s.block, s.least_common * len(sought)
     order = np.lexsort((-places, -cosines))
-    low = np.maximum(0, places[order] - width)
-    high = np.minimum(len(words), places[order] + s.block * s.blocks + width)
-    # Words that a region and the item have in common, each as often as both have it, bound the
-    # subsequence; running numbers of each word give them for all regions at once.
-    begin, end = int(low.min()), int(high.max())
-    distinct, times = items.distinct[item]
-    upto = np.zeros((len(distinct), end - begin + 1), np.int32)
-    np.cumsum(words[begin:end] == distinct[:, None], axis=1, out=upto[:, 1:])
-    shared = np.minimum(upto[:, high - begin] - upto[:, low - begin], times[:, None]).sum(axis=0)
+    low, high = _region(places[order], len(words), len(sought), s)
     best, done = None, set()
-    for k in np.flatnonzero(shared >= least):
-        a, z = int(low[k]), int(high[k])
+    for a, z in zip(low.tolist(), high.tolist()):
         if (a, z) in done:
             continue
         done.add((a, z))
