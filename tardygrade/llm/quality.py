@@ -13,8 +13,6 @@ get equal scores. If only one class is labelled, all texts get its probability.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,17 +21,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import texts
 from .labelled import class_counts, labelled_sample
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` bounds the labelled texts of each class, ``parts`` the pieces of each text."""
+    """``rows`` bounds the labelled texts of each class, which are used whole."""
 
     piece: int = 1024
     rows: tuple[int, int] = (2000, 2000)
-    parts: int = 16
     dictionary: int = 64 << 10
     level: int = 3
     held_back: float = 0.4
@@ -97,8 +94,8 @@ def _logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[flo
     return max(float(beta[0]), 0.0) / scale, float(beta[1])
 
 
-def train(samples: list[list[bytes]], labels: list[int], good_rate: float, s: Settings = Settings()) -> Compressors:
-    """Dictionaries from a part of the samples (texts in pieces), calibration on the others."""
+def train(lines: list[str], labels: list[int], good_rate: float, s: Settings = Settings()) -> Compressors:
+    """Dictionaries from all pieces of a part of the texts, calibration on the other texts, whole."""
     label = np.array(labels)
     if len(set(labels)) < 2:
         rate = good_rate if len(labels) else 0.5
@@ -109,43 +106,24 @@ def train(samples: list[list[bytes]], labels: list[int], good_rate: float, s: Se
         own = np.flatnonzero(label == value)
         if len(own) > 1:
             back[own[0]], back[own[1]] = False, True
-    raw = [[p for k in np.flatnonzero(~back & (label == v)) for p in samples[k]] for v in (1, 0)]
+    raw = [[p for k in np.flatnonzero(~back & (label == v)) for p in cut(lines[k], s.piece)] for v in (1, 0)]
     model = Compressors(*[build_dictionary(part, s.dictionary) for part in raw], s, slope=1.0)
     if not back.any() or len(set(label[back])) < 2:
         back = np.ones(len(label), bool)
-    x = np.array([model.difference(b"".join(samples[k]).decode(errors="replace")) for k in np.flatnonzero(back)])
+    x = np.array([model.difference(lines[k]) for k in np.flatnonzero(back)])
     y = label[back].astype(float)
     weight = np.where(y > 0, good_rate / y.mean(), (1 - good_rate) / (1 - y.mean()))
     model.slope, model.shift = _logistic(x, y, weight)
     return model
 
 
-def _pieces_of_batches(s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                lists = []
-                for text in texts(batch.column(2)):
-                    parts = cut(text, s.piece)
-                    if len(parts) > s.parts:
-                        chosen = sorted(range(len(parts)), key=lambda k: (zlib.crc32(parts[k]), k))[: s.parts]
-                        parts = [parts[k] for k in sorted(chosen)]
-                    lists.append(parts)
-                columns = [batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "parts"])
-
-    return run
-
-
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", s: Settings = Settings()) -> Compressors:
     """Train on a bounded sample of the labelled documents that ``allowed`` admits."""
     sample = labelled_sample(docs, labels, label, allowed, dict(enumerate(s.rows)), s.seed)
-    kind = f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, parts array<binary>"
-    sample = sample.select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    rows = sorted(sample.mapInArrow(_pieces_of_batches(s), kind).collect(), key=lambda r: (r[0], r[2]))
+    rows = sorted(sample.select("doc_id", F.col("label").cast("int"), "text").collect(), key=lambda r: (r[0], r[2]))
     counts = class_counts(labels.filter(allowed), label)
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    return train([[bytes(p) for p in r[2]] for r in rows], [r[1] for r in rows], rate, s)
+    return train([r[2] for r in rows], [r[1] for r in rows], rate, s)
 
 
 def scored(df: DataFrame, model: Compressors, text: str = "text", out: str = "score") -> DataFrame:

@@ -5,8 +5,9 @@ character trigrams, so that unseen words are judged by their spelling. A bidirec
 gated recurrent network reads windows of words, attention pools its states, and a linear
 layer gives the logit of the window. The logit of a text is that of its worst window, so
 training is multiple-instance learning: after a start on random windows, each epoch trains
-on the window that the network now finds worst. The network is written and trained in
-numpy on a bounded sample; the logit is calibrated on texts that it was not trained on.
+on the window that the network now finds worst, among all windows of the text. The network is
+written and trained in numpy on a bounded number of whole texts; the logit is calibrated on
+all windows of texts that it was not trained on.
 
 Scoring reads every window of the whole text: windows of ``width`` words overlap, and the
 last one ends with the text. A null or empty text, or one without words, has no window and
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,18 +25,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import texts
 from .labelled import class_counts, labelled_sample
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` bounds the labelled texts of each class, ``windows`` those of each text."""
+    """``rows`` bounds the labelled texts of each class, which are used whole.
+
+    Windows of ``width`` words begin every ``stride`` words.
+    """
 
     width: int = 32
     stride: int = 24
     rows: tuple[int, int] = (2400, 1600)
-    windows: int = 48
     held_back: float = 0.25
     hidden: int = 12
     word_dim: int = 12
@@ -286,30 +288,63 @@ class Lexicon:
         return self.flat[np.repeat(self.starts[entries], sizes) + offsets], sizes
 
 
-def train(bags: list[list[str]], labels: list[int], base_rate: float, s: Settings = Settings()) -> Network:
-    """Fit on texts given as lists of windows; ``base_rate`` is the share of class 1 among all."""
+@dataclass
+class _Bags:
+    """All windows of some texts, as places in one list of words; texts hold lexicon entries."""
+
+    entries: np.ndarray
+    owner: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    width: int
+
+    @staticmethod
+    def of(texts: list[np.ndarray], s: Settings) -> _Bags:
+        sizes = np.array([len(x) for x in texts], np.int64)
+        windows = [window_starts(n, s.width, s.stride) for n in sizes]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in windows])
+        start = np.concatenate([*windows, np.empty(0, np.int64)]) + (np.cumsum(sizes) - sizes)[owner]
+        entries = np.concatenate([*texts, np.zeros(s.width, np.int32)])
+        return _Bags(entries, owner, start, np.minimum(sizes[owner], s.width), s.width)
+
+    def inputs(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of some windows, and which of them are words."""
+        mask = np.arange(self.width) < self.length[some][:, None]
+        return np.where(mask, self.entries[self.start[some][:, None] + np.arange(self.width)], 0), mask.astype(np.float32)
+
+
+def _numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str], Counter]:
+    """Entries of the words of each text, the sorted entries, and in how many texts each word is."""
+    number: dict[bytes, int] = {}
+    raw = [np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32) for text in texts]
+    spelling = [spelled(w) for w in number]
+    words = sorted(set(spelling))
+    place = {w: k for k, w in enumerate(words)}
+    entry = np.array([place[w] for w in spelling], np.int32)
+    seen: Counter = Counter()
+    numbered = [entry[own] if len(own) else own for own in raw]
+    for own in numbered:
+        seen.update(np.unique(own).tolist())
+    return numbered, words, Counter({words[k]: c for k, c in seen.items()})
+
+
+def train(texts: list[str], labels: list[int], base_rate: float, s: Settings = Settings()) -> Network:
+    """Fit on whole texts; ``base_rate`` is the share of class 1 among all."""
     label = np.array(labels, np.float32)
-    split = [[[spelled(w) for w in words_of(line)] for line in bag] for bag in bags]
-    seen = Counter(w for bag in split for w in {w for window in bag for w in window})
+    numbered, words, seen = _numbered(texts)
     common = [w for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if c >= s.min_count][: s.vocabulary]
     net = Network.start(s, {w: k + 1 for k, w in enumerate(common)})
+    bags = _Bags.of(numbered, s)
     if len(set(labels)) < 2:
         net.shift, net.slope = (20.0 if labels and labels[0] else -20.0), 0.0
         return net
+    if len(np.unique(label[bags.owner])) < 2:  # one class has no words
+        net.shift, net.slope = float(np.log(base_rate / (1 - base_rate))), 0.0
+        return net
 
-    words = sorted(seen)
-    place = {w: k for k, w in enumerate(words)}
-    lexicon = Lexicon(words, net.vocabulary, s.trigrams)
-    windows = [(b, window) for b, bag in enumerate(split) for window in bag if window]
-    owner = np.array([b for b, _ in windows])
-    ids = np.zeros((len(windows), s.width), np.int64)
-    mask = np.zeros((len(windows), s.width), np.float32)
-    for k, (_, window) in enumerate(windows):
-        ids[k, : len(window)] = [place[w] for w in window[: s.width]]
-        mask[k, : len(window)] = 1
-
+    lexicon, owner = Lexicon(words, net.vocabulary, s.trigrams), bags.owner
     random = np.random.default_rng(s.seed)
-    back = random.random(len(bags)) < s.held_back
+    back = random.random(len(texts)) < s.held_back
     for value in (0, 1):  # both parts need both classes
         own = np.flatnonzero(label == value)
         if len(own) > 1:
@@ -318,11 +353,12 @@ def train(bags: list[list[str]], labels: list[int], base_rate: float, s: Setting
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.weights.items()}
     steps = 0
     while steps < s.steps:
-        noise = random.random(len(windows))
+        noise = random.random(len(owner))
         if steps < s.warm * s.steps:
             chosen = _best_of(trainable, owner, noise, 4)
         else:
-            logits = _lexicon_logits(net, ids, mask, lexicon)
+            logits = np.empty(len(owner))
+            logits[trainable] = _lexicon_logits(net, bags, trainable, lexicon)
             hard = _best_of(trainable, owner, logits, 1)
             calm = trainable[label[owner[trainable]] == 0]
             chosen = np.concatenate([hard, _best_of(calm, owner, noise, 2)])
@@ -334,7 +370,7 @@ def train(bags: list[list[str]], labels: list[int], base_rate: float, s: Setting
         rate = s.rate * (1.0 if steps < 0.6 * s.steps else 0.3)
         for k in range(0, len(chosen), s.batch):
             part = chosen[k : k + s.batch]
-            g = net.gradients(ids[part], mask[part], label[owner[part]], lexicon, random)
+            g = net.gradients(*bags.inputs(part), label[owner[part]], lexicon, random)
             steps += 1
             norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
             for name, grad in g.items():
@@ -344,9 +380,10 @@ def train(bags: list[list[str]], labels: list[int], base_rate: float, s: Setting
                 second += 0.001 * (grad**2 - second)
                 net.weights[name] -= rate * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.999**steps)) + 1e-8)
 
-    worst = np.full(len(bags), float(net.weights["b"][0]))
+    worst = np.full(len(texts), float(net.weights["b"][0]))
     worst[np.unique(owner)] = -np.inf
-    np.maximum.at(worst, owner, _lexicon_logits(net, ids, mask, lexicon))
+    unseen = np.flatnonzero(back[owner])
+    np.maximum.at(worst, owner[unseen], _lexicon_logits(net, bags, unseen, lexicon))
     share = label[back].mean()
     weight = np.where(label[back] > 0, base_rate / share, (1 - base_rate) / (1 - share))
     net.slope, net.shift = calibrate(worst[back], label[back], weight)
@@ -361,14 +398,18 @@ def _best_of(rows: np.ndarray, owner: np.ndarray, value: np.ndarray, count: int)
     return order[rank < count]
 
 
-def _lexicon_logits(net: Network, ids: np.ndarray, mask: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+def _lexicon_logits(net: Network, bags: _Bags, some: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    """Logits of some windows."""
     p, everything = net.weights, np.arange(len(lexicon.numbers))
     flat, sizes = lexicon.trigrams(everything)
     means = np.add.reduceat(p["chars"][flat], np.cumsum([0, *sizes[:-1]]), axis=0) / sizes[:, None]
     inputs = np.concatenate([p["words"][lexicon.numbers], means], axis=1).astype(np.float32)
     table = np.concatenate([inputs @ p["Wf"] + p["bf"], inputs @ p["Wb"] + p["bb"]], axis=1)
-    parts = [net._window_logits(table[ids[k : k + 2048]], mask[k : k + 2048]) for k in range(0, len(ids), 2048)]
-    return np.concatenate(parts)
+    found = np.empty(len(some))
+    for k in range(0, len(some), 2048):
+        ids, mask = bags.inputs(some[k : k + 2048])
+        found[k : k + 2048] = net._window_logits(table[ids], None if mask.all() else mask)
+    return found
 
 
 def calibrate(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> tuple[float, float]:
@@ -391,35 +432,14 @@ def calibrate(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float
 # On Spark ---------------------------------------------------------------------
 
 
-def _windows_of_batches(s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                lists = []
-                for text in texts(batch.column(2)):
-                    words = words_of(text)
-                    starts = window_starts(len(words), s.width, s.stride)
-                    if len(starts) > s.windows:
-                        order = sorted(starts, key=lambda k: zlib.crc32(b" ".join(words[k : k + s.width])))
-                        starts = sorted(order[: s.windows])
-                    lists.append([b" ".join(words[k : k + s.width]).decode() for k in starts])
-                columns = [batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "windows"])
-
-    return run
-
-
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", s: Settings = Settings()) -> Network:
     """Train on a bounded sample of the labelled documents that ``allowed`` admits.
 
-    The sample has at most ``rows`` texts of each class and ``windows`` windows of each
-    text, so what reaches the driver does not grow with the input.
+    The sample has at most ``rows`` whole texts of each class, so the number of texts that
+    reach the driver does not grow with the input.
     """
     sample = labelled_sample(docs, labels, label, allowed, dict(enumerate(s.rows)), s.seed)
-    sample = sample.select("doc_id", "label", "text")
-    kind = f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, windows array<string>"
-    sample = sample.withColumn("label", F.col("label").cast("int"))
-    rows = sorted(sample.mapInArrow(_windows_of_batches(s), kind).collect(), key=lambda r: (r[0], r[2]))
+    rows = sorted(sample.select("doc_id", F.col("label").cast("int"), "text").collect(), key=lambda r: (r[0], r[2]))
     counts = class_counts(labels.filter(allowed), label)
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     return train([r[2] for r in rows], [r[1] for r in rows], rate, s)
