@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -156,6 +157,10 @@ class Network:
         known.update(zip(new, range(first, first + len(new))))
         return [known[w] for w in words]
 
+    def forget(self) -> None:
+        """Gives up the remembered words."""
+        self._rows, self._table = {}, None
+
     def logits(self, lines: list[str]) -> np.ndarray:
         """Logit of the worst window of each text."""
         s = self.settings
@@ -450,10 +455,13 @@ def scored(df: DataFrame, net: Network, text: str = "text", out: str = "score")
     model = df.sparkSession.sparkContext.broadcast(net)
 
     @F.arrow_udf("double")
-    def score(column: pa.Array) -> pa.Array:
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = model.value
-        lines = texts(column)
-        parts = [own.logits(lines[k : k + 64]) for k in range(0, len(lines), 64)]
-        return pa.array(own.probability(np.concatenate([*parts, []])), pa.float64())
+        for column in columns:
+            lines = texts(column)
+            parts = [own.logits(lines[k : k + 64]) for k in range(0, len(lines), 64)]
+            yield pa.array(own.probability(np.concatenate([*parts, []])), pa.float64())
+        # The worker may go on with another operator.
+        own.forget()
 
     return df.withColumn(out, score(text))
