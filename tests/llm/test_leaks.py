@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -123,3 +124,24 @@ def test_products_equal_the_matrix():
     right = random_numbers.normal(size=(64, 3))
     assert np.allclose(passages.sums(right), matrix @ right)
     assert np.allclose(passages.spread(matrix @ right), matrix.T @ (matrix @ right))
+
+
+def test_words_in_common_equal_counting():
+    choose, s = random.Random(6), leaks.Settings(block=4)
+    few = WORDS[:40]
+    items = [(k, " ".join(choose.choices(few, k=choose.randint(1, 30)))) for k in range(12)]
+    lines = ["", "one", *(" ".join(choose.choices(few, k=choose.randint(1, 120))) for _ in range(15))]
+    words, sizes = leaks.hashed_words(lines)
+    space = leaks.LatentSpace(np.random.default_rng(0).normal(size=(s.terms, 4)).astype(np.float32), s)
+    (own,) = leaks.Items.some(items, space)
+    numbers, ends = own.numbered(words), np.cumsum(sizes)
+    rows = [(t, i, p) for t in range(len(lines)) for i in range(len(own.ids)) for p in range(0, max(1, int(sizes[t])), 4)]
+    text, item, place = (np.array(x) for x in zip(*rows))
+    found = leaks._enough_in_common(numbers, sizes, own, text, item, place, s)
+    low, high = leaks._region(place, sizes[text], own.sizes[item], s)
+    for (t, i, _), a, z, got in zip(rows, low, high, found):
+        region = Counter(words[ends[t] - sizes[t] :][a:z].tolist())
+        common = sum((region & Counter(own.words[i])).values())
+        assert got == (common >= s.least_common * len(own.words[i]))
+    assert 0 < found.sum() < len(found)
+    assert not len(leaks._enough_in_common(numbers, sizes, own, *[np.empty(0, np.int64)] * 3, s))
