@@ -1,10 +1,11 @@
 """What is shuffled and written: bounded by the plan, whatever the size of the tables."""
 
 import sys
-
+from datetime import date, timedelta
 
 import tardygrade.catalog  # noqa: F401
 from tardygrade import session
+from tardygrade.operators import history
 from tardygrade.sources import trips
 
 QUERIES = sys.modules["tardygrade.catalog.queries"]
@@ -32,3 +33,29 @@ def test_files_of_stored_tables_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(session, "FILE_ROWS", 10)
     table = session.materialize(spark.range(0, 95, 1, 1), "bounded")
     assert len(table.inputFiles()) == 10 and table.count() == 95
+
+
+def test_trips_are_shuffled_once_for_all_histories(done):
+    """One shuffle of the wide trips, reused for the counts, and no join with them."""
+    table = history.attach_history(done.select(*QUERIES.TRIP, "distance"), history.ALL_ENTITIES)
+    text = table._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text
+    wide = table._jdf.queryExecution().optimizedPlan().toString()
+    laid = [line for line in wide.splitlines() if "RepartitionByExpression [_group" in line]
+    # The trips themselves, and the rows that each of three counts and two moved parts take from them.
+    assert len(laid) >= 4
+    below = [line.split("Project ", 1)[1] for line in wide.splitlines() if "Project [" in line and "AS _group" in line and "distance" in line]
+    assert len({len(line.split(",")) for line in below}) == 1
+
+
+def test_groups_have_a_bounded_number_of_days(spark, monkeypatch):
+    """The result is the same for a day at a time and for all days together."""
+    rows = [(date(2024, 1, 1) + timedelta(days=k % 23), k % 5, k * 7 % 60, k % 7, "AB"[k % 2], k % 3 % 2) for k in range(300)]
+    schema = "fl_date date, scheduled_dep_hour int, scheduled_dep_minute int, day_of_week int, origin string, is_delayed int"
+    df = spark.createDataFrame(rows, schema)
+    contexts = (history.Context("origin_hour", "scheduled_dep_hour", 7), history.Context("origin_dow", "day_of_week", 3, 90_000))
+    found = []
+    for together in (1, 60, 1 << 16):
+        monkeypatch.setattr(history, "TOGETHER", together)
+        found.append(sorted(map(repr, history.attach_history(df, [history.Entity("origin", "origin", 7, contexts)]).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 300
