@@ -76,11 +76,20 @@ def hashed_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place in the word, so all words are hashed at once.
     """
     parts = [line.lower().encode().translate(_SPACED, SIGNS) for line in lines]
+    # Some texts at a time, so that their bytes' hashes stay in the processor's cache.
+    size = np.cumsum([len(part) for part in parts]) >> 16
+    edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(parts)]
+    found = [_hashed(parts[a:z]) for a, z in zip(edges, edges[1:])]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _hashed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for some texts in lower case, with blanks as their only white space and without signs."""
     raw = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
     inside = raw != 32
     start = np.flatnonzero(inside & np.r_[True, ~inside[:-1]])
     if not len(start):
-        return np.empty(0, np.int32), np.zeros(len(lines), np.int64)
+        return np.empty(0, np.int32), np.zeros(len(parts), np.int64)
     at = np.flatnonzero(inside)
     first = np.flatnonzero(np.r_[True, np.diff(at) > 1])
     place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
@@ -144,10 +153,11 @@ class Passages:
             needed = np.unique(np.minimum(head[:, None] + np.arange(self.s.blocks), self.ends[self.owner[head]][:, None] - 1))
         blocks = np.zeros((len(needed), table.shape[1]), table.dtype)
         # Some blocks at a time, so that sums stay in the processor's cache.
-        for start in range(0, len(needed), 512):
-            part, own = blocks[start : start + 512], needed[start : start + 512]
+        rows = np.empty((min(256, len(needed)), table.shape[1]), table.dtype)
+        for start in range(0, len(needed), 256):
+            part, terms = blocks[start : start + 256], self.term[needed[start : start + 256]].T
             for k in range(self.s.block):
-                part += table[self.term[own, k]]
+                part += table.take(terms[k], axis=0, out=rows[: len(part)], mode="clip")
         chosen = np.arange(len(self.heads)) if some is None else some
         total = np.zeros((len(chosen), table.shape[1]), table.dtype)
         for passages, own in self._parts(chosen):
@@ -159,9 +169,11 @@ class Passages:
         blocks = np.zeros((len(self.term), of_passage.shape[1]), of_passage.dtype)
         for passages, own in self._parts():
             blocks[own] += of_passage[passages]
-        terms, size = self.term.ravel(), self.s.terms + 1
-        columns = [np.bincount(terms, np.repeat(row, self.s.block), minlength=size) for row in np.ascontiguousarray(blocks.T)]
-        return np.stack(columns, axis=1)[: self.s.terms]
+        # One place of all blocks at a time, so that no row is repeated for the words of its block.
+        size, places = self.s.terms + 1, np.ascontiguousarray(self.term.T)
+        columns = np.ascontiguousarray(blocks.T, np.float64)
+        sums = [sum(np.bincount(terms, row, minlength=size) for terms in places) for row in columns]
+        return np.stack(sums, axis=1)[: self.s.terms]
 
 
 def _each(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Passages]]:
@@ -343,7 +355,7 @@ class Items:
         return found
 
     def rare_words(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Running numbers of rare words of each item before each block; blocks begin at ``first``."""
+        """Running numbers of rare words before each block, a row for each item; blocks begin at ``first``."""
         items, ends = self.rare
         at = np.flatnonzero(np.diff(ends, prepend=0, append=ends[-1])[numbers])
         number = numbers[at]
@@ -351,12 +363,12 @@ class Items:
         # The items of each word found, one after the other.
         shift = np.repeat(ends[number] - np.cumsum(times), times)
         item = items[np.arange(times.sum()) + shift]
-        block = np.searchsorted(first, np.repeat(at, times), "right")
-        shape = len(first) + 1, len(self.ids)
-        found = np.bincount(block * shape[1] + item, minlength=shape[0] * shape[1]).reshape(shape)
+        block = np.repeat(np.searchsorted(first, at, "right"), times)
+        shape = len(self.ids), len(first) + 1
+        found = np.bincount(item * shape[1] + block, minlength=shape[0] * shape[1]).reshape(shape)
         # Differences of running numbers may wrap around, as long as they fit themselves.
-        fits = self.most < 1 << 16
-        return np.cumsum(found.astype(np.uint16 if fits else np.uint32), axis=0, dtype=np.uint16 if fits else np.uint32)
+        kind = np.uint16 if self.most < 1 << 16 else np.uint32
+        return np.cumsum(found.astype(kind), axis=1, dtype=kind)
 
     @property
     def most(self) -> int:
@@ -385,15 +397,16 @@ def _candidates(words: np.ndarray, sizes: np.ndarray, passages: Passages, own: I
         # Blocks that these passages reach.
         low, high = max(0, int(head[0]) - widest), min(len(passages.first), int(head[-1]) + s.blocks + widest)
         before = own.rare_words(numbers[bounds[low] : bounds[high]], passages.first[low:high] - bounds[low])
-        enough = np.empty((len(head), len(own.ids)), bool)
+        enough = np.empty((len(own.ids), len(head)), bool)
         for reach in np.unique(own.reach):
             # Items of one reach are next to each other.
             items = slice(*np.searchsorted(own.reach, [reach, reach + 1]))
             first = np.maximum(head - reach, starts[text]) - low
             last = np.minimum(head + s.blocks + reach, passages.ends[text]) - low
-            own_before = before[:, items]
-            enough[:, items] = own_before[last] - own_before[first] >= least[items].astype(before.dtype)
-        row, column = np.nonzero(enough)
+            own_before = before[items]
+            in_reach = own_before.take(last, axis=1) - own_before.take(first, axis=1)
+            enough[items] = in_reach >= least[items, None].astype(before.dtype)
+        column, row = np.divmod(np.flatnonzero(enough), enough.shape[1])
         found.append((k + row, column))
     row, item = (np.concatenate(x) for x in zip(*found))
     text = passages.owner[passages.heads[row]]

@@ -145,3 +145,13 @@ def test_words_in_common_equal_counting():
         assert got == (common >= s.least_common * len(own.words[i]))
     assert 0 < found.sum() < len(found)
     assert not len(leaks._enough_in_common(numbers, sizes, own, *[np.empty(0, np.int64)] * 3, s))
+
+
+def test_words_of_many_texts_are_those_of_each():
+    """Texts are hashed some at a time; empty ones and long ones stand between others."""
+    from tardygrade.llm.leaks import hashed_words, word_hashes
+
+    lines = [("word%d and, more " % k) * (k % 7 * 900) for k in range(40)] + ["", "...", "end"]
+    hashes, sizes = hashed_words(lines)
+    assert sizes.tolist() == [len(word_hashes(x)) for x in lines]
+    assert hashes.tolist() == [w for x in lines for w in word_hashes(x)]
