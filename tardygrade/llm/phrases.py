@@ -10,7 +10,8 @@ frequent if the phrases without its first and without its last word are.
 
 Tables that tasks look ids up in are broadcast in blocks of ``block`` rows; a larger table takes
 one pass over the coded texts for each block. Nothing else is broadcast, and nothing is
-collected but these blocks.
+collected but these blocks. Steps that follow each other (hashing, looking up, counting) are one
+function, since each function of a plan has a Python process of its own for each running task.
 
 Results. Per language (null: ``und``) the ``top`` phrases by score, as described at
 ``collocations``. Letters A-Z are lower-cased, ``.,;:!?`` and line ends (bytes 10 to 13)
@@ -23,7 +24,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,6 +168,8 @@ def _unpacked(value: pa.Scalar, kind: type = np.int32) -> np.ndarray:
 
 # Coded texts ------------------------------------------------------------------
 
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def _hashed():
     """The texts of each task as sequences of word hashes; 0 stands for the end of a piece."""
@@ -180,15 +183,46 @@ def _hashed():
     return run
 
 
-def _looked_up(table: DataFrame, phrases: DataFrame, key: Column, keys_of, s: Settings) -> DataFrame:
-    """``table`` (binary columns) with ``found``: the id of what begins at each word, -1 for none.
+@dataclass(frozen=True)
+class Texts:
+    """A table and the steps that its rows still have to go through, one after another in one process."""
+
+    table: DataFrame
+    steps: tuple[Step, ...] = ()
+
+    def then(self, step: Step) -> Texts:
+        return Texts(self.table, (*self.steps, step))
+
+    def rows(self, kind: str) -> DataFrame:
+        """The table after its steps; ``kind`` names its columns and types."""
+        steps = self.steps
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for step in steps:
+                batches = step(batches)
+            return batches
+
+        return self.table.mapInArrow(run, kind) if steps else self.table
+
+
+def _renamed(columns: dict[str, str]) -> Step:
+    """Some columns by their new names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(name) for name in columns], names=list(columns.values()))
+
+    return run
+
+
+def _looked_up(texts: Texts, names: list[str], phrases: DataFrame, key: Column, keys_of, s: Settings) -> Texts:
+    """``texts`` (binary columns ``names``) with ``found``: the id of what begins at each word, -1 for none.
 
     ``keys_of`` gives the places of a row that have a key, the keys and the length of the row.
     Every block of ``phrases`` is a pass of its own; with more than one, each is written.
     """
-    names = table.columns
 
-    def fill(block):
+    def fill(block, again: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = block.value
             for batch in batches:
@@ -196,7 +230,7 @@ def _looked_up(table: DataFrame, phrases: DataFrame, key: Column, keys_of, s: Se
                     at, keys, size = keys_of(*[batch.column(c)[k] for c in range(len(names))])
                     found = np.full(size, _NONE, np.int32)
                     found[at] = look(keys)
-                    if batch.column(len(names))[k].is_valid:
+                    if again:
                         found = np.maximum(found, _unpacked(batch.column(len(names))[k]))
                     columns = [batch.column(c).slice(k, 1) for c in range(len(names))]
                     yield pa.RecordBatch.from_arrays([*columns, _packed([found])], names=[*names, "found"])
@@ -204,28 +238,31 @@ def _looked_up(table: DataFrame, phrases: DataFrame, key: Column, keys_of, s: Se
         return run
 
     kind = ", ".join(f"{name} binary" for name in [*names, "found"])
-    table = table.withColumn("found", F.lit(None).cast("binary"))
     several = phrases.count() > s.block
-    for block in _blocks(phrases, key, s):
-        table = table.mapInArrow(fill(block), kind)
+    for n, block in enumerate(_blocks(phrases, key, s)):
+        texts = texts.then(fill(block, n > 0))
         if several:
-            table = materialize(table, "coded")
-    return table
+            texts = Texts(materialize(texts.rows(kind), "coded"))
+    return texts
 
 
-def _coded(docs: DataFrame, words: DataFrame, s: Settings) -> DataFrame:
-    """The texts as sequences of word ids, written once; -1 stands for an infrequent word and for the end of a piece."""
+def _coded(docs: DataFrame, words: DataFrame, s: Settings) -> Texts:
+    """The texts as sequences of word ids, written once; -1 stands for an infrequent word and for the end of a piece.
+
+    Rows have them twice: as ``words`` and, as phrases of one word, as ``left``.
+    """
 
     def keys_of(hashes: pa.Scalar):
         keys = _unpacked(hashes, np.int64)
         return np.arange(len(keys)), keys, len(keys)
 
-    coded = _looked_up(docs.mapInArrow(_hashed(), "hashes binary"), words, F.col("hash"), keys_of, s)
-    return materialize(coded.select(F.col("found").alias("words")), "coded")
+    texts = _looked_up(Texts(docs, (_hashed(),)), ["hashes"], words, F.col("hash"), keys_of, s)
+    coded = texts.then(_renamed({"found": "words"})).rows("words binary")
+    return Texts(materialize(coded, "coded").withColumn("left", F.col("words")))
 
 
-def _with_left(coded: DataFrame, phrases: DataFrame, reach: int, s: Settings) -> DataFrame:
-    """``coded`` (words, left) with the ids of phrases that are one word longer as ``left``.
+def _with_left(texts: Texts, phrases: DataFrame, reach: int, s: Settings) -> Texts:
+    """``texts`` (words, left) with the ids of phrases that are one word longer as ``left``.
 
     ``phrases`` (id, left, right) has their ids; the last word is ``reach`` words behind the first.
     """
@@ -236,7 +273,7 @@ def _with_left(coded: DataFrame, phrases: DataFrame, reach: int, s: Settings) ->
         return at, left[at].astype(np.int64) << 32 | words[at + reach], len(words)
 
     key = F.shiftleft(F.col("left"), 32).bitwiseOR(F.col("right"))
-    return _looked_up(coded.select("words", "left"), phrases, key, keys_of, s).select("words", F.col("found").alias("left"))
+    return _looked_up(texts, ["words", "left"], phrases, key, keys_of, s).then(_renamed({"words": "words", "found": "left"}))
 
 
 # Counting ---------------------------------------------------------------------
@@ -302,9 +339,9 @@ def _pair_counts(size: int, s: Settings):
     return run
 
 
-def _frequent(coded: DataFrame, size: int, s: Settings) -> DataFrame:
+def _frequent(texts: Texts, size: int, s: Settings) -> DataFrame:
     """(left, right, a, id): the phrases of ``size`` words that are frequent, ranked."""
-    counts = coded.select("words", "left").mapInArrow(_pair_counts(size, s), "left long, right long, n long")
+    counts = texts.then(_pair_counts(size, s)).rows("left long, right long, n long")
     counts = counts.groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= s.least)
     return _ranked(counts, [F.desc("a"), F.asc("left"), F.asc("right")], f"phrases{size}")
 
@@ -365,14 +402,14 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     totals = counted.filter("word IS NULL").select("lang", F.col("a").alias("n"))
     words = _ranked(counted.filter("word IS NOT NULL"), [F.desc("a"), F.asc("lang"), F.asc("word")], "words")
 
-    coded = _coded(rows, words, s).withColumn("left", F.col("words"))
+    texts = _coded(rows, words, s)
     tables = {1: words.select("id", "lang", F.col("word").alias("phrase"), "a", F.col("id").alias("w1"), F.col("a").alias("f11"))}
     scored = []
     for size in range(2, s.longest + 1):
-        frequent = _frequent(coded, size, s)
+        frequent = _frequent(texts, size, s)
         tables[size] = _named(size, frequent, tables)
         if size < s.longest:
-            coded = _with_left(coded, frequent, size - 1, s)
+            texts = _with_left(texts, frequent, size - 1, s)
 
     for size in range(2, s.longest + 1):
         table = tables[size].select("id", "lang", "phrase", "a", "best.l", "best.r", "best.score")

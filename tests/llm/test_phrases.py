@@ -102,3 +102,18 @@ def test_scores_are_exact_beyond_64_bits(spark):
     a, x, y = 9 * 10**15, 9 * 10**15 + 7, 10**16 + 3
     row = spark.createDataFrame([(a, x, y)], "a long, x long, y long").select(phrases._cut(1, "x", "y").alias("c")).first()["c"]
     assert row["score"] == 2_000_000 * a // (x + y) and 2_000_000 * a > 1 << 64
+
+
+@pytest.mark.parametrize("s", SMALL[:1] + SMALL[2:3])
+def test_one_python_process_for_each_running_task(spark, s, monkeypatch):
+    """Each Arrow function of a plan has a process of its own for each running task, which is an executor's memory."""
+    plans, write = [], phrases.materialize
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(phrases, "materialize", seen)
+    phrases.collocations(spark.createDataFrame(corpus(), "lang string, text string"), s=s)
+    counts = [plan.count("MapInArrow") for plan in plans]
+    assert sum(counts) >= 5 and max(counts) == 1
